@@ -11,6 +11,12 @@ from engram.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.fingerprints import compare_with_edit
+
+    return compare_with_edit(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.mixing import mix_sources
 
@@ -30,7 +36,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op2_fingerprints, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
