@@ -17,6 +17,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.mixing import mix_sources
 
@@ -36,7 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_fingerprints, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op2_fingerprints, op5_toxicity, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
