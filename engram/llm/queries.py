@@ -17,6 +17,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.toxicity import score_toxicity, train
 
@@ -43,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_fingerprints, op5_toxicity, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op5_toxicity, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.

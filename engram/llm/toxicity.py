@@ -40,7 +40,7 @@ class Bounds:
     ordinary_rows: int = 6000
     chars: int = 200_000
     ordinary_bytes: int = 65_536
-    toxic_bytes: int = 1024
+    toxic_bytes: int = 2048
     ordinary_windows: int = 80_000
 
 
@@ -76,13 +76,13 @@ def _grams(data: bytes) -> np.ndarray:
 
 
 def _stretches(data: bytes, telling: np.ndarray) -> list[bytes]:
-    """Maximal runs of bytes covered by telling grams, with a byte of context on either side."""
+    """Maximal runs of bytes covered by telling grams."""
     at = np.flatnonzero(telling[g]) if len(g := _grams(data)) else []
     if not len(at):
         return []
     covered = np.zeros(len(data) + 2, np.int32)
-    np.add.at(covered, np.maximum(at - 1, 0), 1)
-    np.add.at(covered, np.minimum(at + GRAM + 1, len(data)), -1)
+    covered[at] += 1
+    np.add.at(covered, at + GRAM, -1)
     edges = np.diff(np.concatenate([[0], (np.cumsum(covered) > 0).astype(np.int8)]))
     return [data[a:b] for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
 
