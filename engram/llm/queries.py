@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engram.llm.common import table
 
@@ -30,6 +31,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.mixing import mix_sources
 
@@ -49,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op5_toxicity, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
