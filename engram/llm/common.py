@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +54,69 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = f"_{name}"
     return name
+
+
+class Bloom:
+    """A Bloom filter over longs whose size is bounded whatever the input.
+
+    Beyond ``2**max_bits`` bits' capacity more keys pass by mistake, which costs
+    readers some work but no result: they filter exactly afterwards.
+    """
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame, col: str, max_bits: int = 26) -> Bloom:
+        n = keys.count()
+        bits = min(max(16, int(12 * n).bit_length()), max_bits)
+        low = F.lit((1 << bits) - 1)
+        slots = F.explode(F.array(*(at for h in cls.hashes(F.col(col)) for at in (F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(low)))))
+        rows = (
+            keys.select(slots.alias("_at"))
+            .groupBy(F.shiftrightunsigned("_at", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("mask"))
+            .collect()  # at most 2**(max_bits - 6) rows
+        )
+        words = np.zeros(1 << (bits - 6), np.int64)
+        for r in rows:
+            words[r["word"]] = r["mask"]
+        return cls(words)
+
+    @staticmethod
+    def hashes(key: Column) -> list[Column]:
+        """The two hashes that ``keep`` takes; each gives two slots."""
+        return [F.xxhash64(key), F.xxhash64(key, F.lit(1))]
+
+    def keep(self, *hashes: np.ndarray) -> np.ndarray:
+        """Whether each row may be a key."""
+        bits = np.uint64(len(self.words).bit_length() - 1 + 6)
+        words, out = self.words.view(np.uint64), np.ones(len(hashes[0]), bool)
+        for h in hashes:
+            x = h.astype(np.int64).view(np.uint64)
+            for at in (x >> (np.uint64(64) - bits), x & ((np.uint64(1) << bits) - np.uint64(1))):
+                out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``id, label``: the smallest id of each id's connected component, for ids with an edge.
+
+    ``edges`` has two long columns. Alternating large-star and small-star steps;
+    minima are aggregated before the shuffle, joins can be split where one node
+    has very many edges, and each step is written to shared storage.
+    """
+    a, b = (F.col(c) for c in edges.columns)
+    e = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e, before = materialize(e, "edges"), None
+    while True:
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before or now[0] == 0:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(small, "u")
+        e = materialize(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -24,6 +24,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.toxicity import score_toxicity, train
 
@@ -56,7 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
