@@ -36,6 +36,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/engram/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files go when their plan is collected; the driver alone would wait for a full heap.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ leaves are visited is calibrated: a bounded set of probe vectors is compared
 with all vectors by brute force, and visits are widened until the wanted share
 of the true neighbours lies in visited leaves.
 
-Vectors and visiting queries then meet by leaf. Leaves (and their visitors)
+Vectors and visiting queries then meet by leaf, in two rounds: the first few
+leaves give each query k+1 distances, and from all other leaves only vectors
+that are no farther than the last of these are passed on. Leaves (and their visitors)
 beyond a set number are split into parts, so no task holds a whole hot leaf.
 Of equal vectors only the k+1 smallest ids can be anybody's neighbours; the
 others are left out of the candidates beforehand, which loses nothing, and
@@ -36,6 +38,7 @@ class Settings:
     leaf: int = 24  # sample vectors in a leaf
     probes: int = 200  # vectors that the number of visits is calibrated on
     recall: float = 0.97  # what calibration asks for
+    ahead: int = 8  # leaves of the first round
     part: int = 4096  # vectors, or visiting queries, of a leaf that meet in one group
 
 
@@ -202,21 +205,22 @@ def nearest_neighbours(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, leaves = [], []
+            take, leaves, order = [], [], []
             for i, q in enumerate(_matrix(b.column(1))):
                 found = n = 0
                 for leaf in shared.value.visits(q):
                     if leaf in held:
                         take.append(i)
                         leaves.append(leaf)
+                        order.append(0 if found <= 2 * k + 1 or n < settings.ahead else 1)
                         found += held[leaf]
                     n += 1
                     if n >= visits and found > 2 * k + 1:
                         break
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int64())], names=["id", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int64()), pa.array(order, pa.int32())], names=["id", "v", "leaf", "round"])
 
-    routed = materialize(asked.mapInArrow(route, f"{_META}, leaf bigint"), "ann-routed")
+    routed = materialize(asked.mapInArrow(route, f"{_META}, leaf bigint, round int"), "ann-routed")
     visitors = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
     sizes = spark.createDataFrame(
         [(leaf, -(-n // settings.part), max(1, -(-visitors.get(leaf, 0) // settings.part))) for leaf, n in held.items()], "leaf bigint, vparts int, qparts int"
@@ -224,26 +228,34 @@ def nearest_neighbours(
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         part = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int").alias(own)
-        return df.join(F.broadcast(sizes), "leaf").select("id", "v", "leaf", part, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
+        rest = [c for c in df.columns if c not in ("id", "v", "leaf")]
+        return df.join(F.broadcast(sizes), "leaf").select("id", "v", "leaf", *rest, part, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
 
     keys = ["leaf", "vpart", "qpart"]
-    left = dealt(index, "vpart", "qpart").groupBy(*keys)
-    right = dealt(routed, "qpart", "vpart").groupBy(*keys)
-
     def meet(xs: pa.Table, qs: pa.Table) -> pa.Table:
         query, vec, score = [], [], []
         if xs.num_rows and qs.num_rows:
             ids, x = xs["id"].to_numpy(), _matrix(xs["v"].combine_chunks())
-            for qid, q in zip(qs["id"].to_pylist(), _matrix(qs["v"].combine_chunks()), strict=True):
+            for qid, q, bound in zip(qs["id"].to_pylist(), _matrix(qs["v"].combine_chunks()), qs["bound"].to_pylist(), strict=True):
                 d = distances(q[None], x)[0]
                 best = top(d, ids, k + 1)
+                best = best[d[best] <= bound]
                 query += [qid] * len(best)
                 vec += ids[best].tolist()
                 score += d[best].tolist()
         return pa.table({"rep": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = left.cogroup(right).applyInArrow(meet, "rep bigint, vec_id bigint, score double")
-    best = found.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("rn") <= k + 1).drop("rn")
+    def searched(visitors: DataFrame) -> DataFrame:
+        left, right = dealt(index, "vpart", "qpart"), dealt(visitors, "qpart", "vpart")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "rep bigint, vec_id bigint, score double")
+
+    def nearest(df: DataFrame) -> DataFrame:
+        return df.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("rn") <= k + 1)
+
+    ahead = materialize(nearest(searched(routed.where("round = 0").drop("round").withColumn("bound", F.lit(float("inf"))))), "ann-ahead")
+    bounds = ahead.where(F.col("rn") == k + 1).select(F.col("rep").alias("id"), F.col("score").alias("bound"))
+    wider = routed.where("round = 1").drop("round").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    best = nearest(ahead.drop("rn").unionByName(searched(wider))).drop("rn")
     same = rows.where("is_query").select(F.col("id").alias("query_id"), "v").join(asked.select(F.col("id").alias("rep"), "v"), "v").drop("v")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (

@@ -12,6 +12,12 @@ from engram.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.fingerprints import compare_with_edit
 
@@ -62,7 +68,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op1_lines, op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
@@ -88,5 +94,31 @@ SELECT doc_id, source, lang, n_chars, text, unnest(range(1, n + 1))::INTEGER AS
 """
 
 
+_OP1 = r"""
+WITH parts AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
+), lines AS (
+  SELECT doc_id, no, line, NOT regexp_full_match(line, '[\s[:cntrl:]]*') AS solid FROM parts
+), uniq AS (
+  SELECT line, length(line) AS n, string_split(line, '') AS c, min((doc_id, no)) AS pos FROM lines WHERE solid GROUP BY line
+), long AS (SELECT * FROM uniq WHERE n >= 16
+), pairs AS (
+  SELECT b.line, a.c AS ac, b.c AS bc FROM long a JOIN long b ON a.n = b.n AND a.pos < b.pos
+), longer AS (
+  SELECT a.line AS la, b.line AS lb, a.pos AS pa, b.pos AS pb, a.c AS ac, b.c AS bc,
+    coalesce(list_position(list_transform(list_zip(a.c[:b.n], b.c), lambda x: x[1] <> x[2]), true), b.n + 1) AS cut
+  FROM long a JOIN long b ON a.n = b.n + 1
+), near AS (
+  SELECT line FROM pairs WHERE len(list_filter(list_zip(ac, bc), lambda x: x[1] <> x[2])) = 1
+  UNION SELECT CASE WHEN pa < pb THEN lb ELSE la END FROM longer WHERE ac[cut + 1:] = bc[cut:]
+), kept AS (
+  SELECT l.doc_id, l.no, l.line, NOT solid OR ((l.doc_id, l.no) = u.pos AND l.line NOT IN (SELECT line FROM near)) AS stays
+  FROM lines l LEFT JOIN uniq u ON l.line = u.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '') AS text, count(*) FILTER (NOT stays) AS n_dropped_lines
+FROM kept GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _OP7}
+    return {"op1_lines": _OP1, "op7_mixing": _OP7}
