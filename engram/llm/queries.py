@@ -55,6 +55,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "text", "copy")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.licenses import scan_licenses
 
@@ -68,7 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op1_lines, op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op8_passages, op9_licenses, op10_secrets)}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
