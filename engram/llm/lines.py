@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import fresh, materialize, text_or_empty
+from engram.llm.common import discard, fresh, materialize, text_or_empty
 
 FIRST_BLOCKS, BLOCKS = 2, 16
 
@@ -52,16 +52,23 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(keys, _KEY, "left_semi")
 
 
-def _as_both(lines: DataFrame) -> DataFrame:
-    """Each line with its own length as target and with the next one."""
-    targets = F.explode(F.array(F.col("n"), F.col("n") + 1)).alias("target")
-    return lines.select("lid", "n", "line", targets).select("lid", "n", "line", "target", F.lit(0).alias("begin"), F.col("target").alias("end"))
+def _first_division(lines: DataFrame) -> DataFrame:
+    """Each line with its own length as target and with the next one, in FIRST_BLOCKS parts.
+
+    The variants are hashed before rows are made of them, so no text is copied.
+    """
+    cuts = []
+    for target in (F.col("n"), F.col("n") + 1):
+        for k in range(FIRST_BLOCKS):
+            begin, end = (F.floor(target.cast("long") * i / FIRST_BLOCKS).cast("int") for i in (k, k + 1))
+            cuts.append(F.struct(target.alias("target"), begin.alias("begin"), end.alias("end"), _variant(F.col("line"), F.col("n"), target, begin, end).alias("variant")))
+    return lines.select("lid", F.explode(F.array(*cuts)).alias("x")).select("lid", "x.*")
 
 
 def near_copies(lines: DataFrame, *, min_chars: int) -> DataFrame:
     """From distinct lines ``pos, line``: the ``pos`` of lines with an earlier one within one edit."""
     long = lines.select(F.xxhash64("line").alias("lid"), "pos", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
-    found = materialize(_shared(_divided(_as_both(long), FIRST_BLOCKS)), "line-suspects")
+    found = materialize(_shared(_first_division(long)), "line-suspects")
     texts = materialize(long.join(found.select("lid").distinct(), "lid", "left_semi"), "line-texts")
     done = []
     while True:
@@ -90,26 +97,29 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 16, near: bool = True, id_c
     """
     count_col = fresh(count_col, docs.columns)
     taken = [*docs.columns, count_col]
-    doc, th, kept = (fresh(c, taken) for c in ("_doc", "_th", "_kept"))
+    doc, th, kept, blanks = (fresh(c, taken) for c in ("_doc", "_th", "_kept", "_blanks"))
     text = text_or_empty(text_col)
     keyed = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(th, F.xxhash64(text))
-    blank = lambda line: F.trim(F.regexp_replace(line, r"[\s\p{Cntrl}]+", " ")) == ""
+    blank = lambda line: line.rlike(r"^[\s\p{Cntrl}]*$")
     lines = keyed.select(doc, th, F.posexplode(F.split(text, "\n")).alias("no", "line")).where(~blank(F.col("line")))
     pos = F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("doc"), F.col("no"), F.col(th).alias("th"))
     distinct = materialize(lines.groupBy("line").agg(F.min(pos).alias("pos")), "lines")
     stay = distinct.select("pos")
     if near:
         stay = stay.join(near_copies(distinct, min_chars=min_chars), "pos", "left_anti")
+    stay = materialize(stay, "line-stay")
+    discard(distinct)
     by_row = stay.groupBy(F.col("pos.doc").alias("_d"), F.col("pos.th").alias("_t")).agg(F.collect_list("pos.no").alias(kept))
-    joined = keyed.join(by_row, F.col(doc).eqNullSafe(F.col("_d")) & (F.col(th) == F.col("_t")), "left").drop("_d", "_t")
+    # The lines themselves pass through the join in the text's place, so that they are split once.
     split = F.split(F.col(text_col), "\n")
-    whole = F.sequence(F.lit(0), F.size(split) - 1)
-    blanks = F.filter(whole, lambda i: blank(F.get(split, i)))
-    staying = F.array_sort(F.array_union(F.coalesce(F.col(kept), F.array().cast("array<int>")), blanks))
-    after = F.array_join(F.transform(F.col(kept), lambda i: F.get(split, i)), "\n")
+    numbered = F.transform(split, lambda line, i: F.when(blank(line), i))
+    rows = keyed.withColumn(blanks, F.filter(numbered, lambda i: i.isNotNull())).withColumn(text_col, split)
+    joined = rows.join(by_row, F.col(doc).eqNullSafe(F.col("_d")) & (F.col(th) == F.col("_t")), "left")
+    none = F.array().cast("array<int>")
+    staying = F.array_sort(F.array_union(F.coalesce(F.col(kept), none), F.col(blanks)))
     return (
         joined.withColumn(kept, staying)
-        .withColumn(count_col, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("long"))
-        .withColumn(text_col, F.when(F.col(count_col) == 0, F.col(text_col)).otherwise(after))
+        .withColumn(count_col, F.coalesce(F.size(text_col) - F.size(kept), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col(count_col) == 0, F.array_join(text_col, "\n")).otherwise(F.array_join(F.transform(F.col(kept), lambda i: F.get(F.col(text_col), i)), "\n")))
         .select(*docs.columns, count_col)
     )
