@@ -6,6 +6,7 @@ fixed, so that results are the same at any time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -589,3 +590,18 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     m = _mem(spark, d)
     return m.select("memory_id", embedding.embed(text.document_payload(F.col("topic"), F.col("summary"))).alias("embedding"))
+
+
+@query(f"WITH {MEM} SELECT brain_id, memory_id FROM mem WHERE expires_at_ms > {NOW}")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Memories written as a file stream's batches, then read back."""
+    import tempfile
+
+    from engram.streaming.ingest import ingest
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    target = f"{base}/engram-stream-{uuid.uuid4().hex}"
+    _mem(spark, d).where(F.col("expires_at_ms") > NOW).write.parquet(f"{target}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{target}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{target}/in")
+    ingest(source, f"{target}/out", f"{target}/state", started_ms=NOW).awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("brain_id", "memory_id")
