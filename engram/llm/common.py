@@ -78,13 +78,11 @@ class Bloom:
         self.words = words
 
     @classmethod
-    def of(cls, keys: DataFrame, col: str, max_bits: int = 26) -> Bloom:
+    def of(cls, keys: DataFrame, *cols: str, max_bits: int = 26) -> Bloom:
         n = keys.count()
         bits = min(max(16, int(12 * n).bit_length()), max_bits)
-        low = F.lit((1 << bits) - 1)
-        slots = F.explode(F.array(*(at for h in cls.hashes(F.col(col)) for at in (F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(low)))))
         rows = (
-            keys.select(slots.alias("_at"))
+            keys.select(F.explode(F.array(*cls._slots(cls.hashes(*map(F.col, cols)), bits))).alias("_at"))
             .groupBy(F.shiftrightunsigned("_at", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("mask"))
             .collect()  # at most 2**(max_bits - 6) rows
@@ -95,13 +93,22 @@ class Bloom:
         return cls(words)
 
     @staticmethod
-    def hashes(key: Column) -> list[Column]:
+    def hashes(*key: Column) -> list[Column]:
         """The two hashes that ``keep`` takes; each gives two slots."""
-        return [F.xxhash64(key), F.xxhash64(key, F.lit(1))]
+        return [F.xxhash64(*key), F.xxhash64(*key, F.lit(1))]
+
+    @staticmethod
+    def _slots(hashes: list[Column], bits: int) -> list[Column]:
+        low = F.lit((1 << bits) - 1)
+        return [at for h in hashes for at in (F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(low))]
+
+    @property
+    def bits(self) -> int:
+        return len(self.words).bit_length() - 1 + 6
 
     def keep(self, *hashes: np.ndarray) -> np.ndarray:
         """Whether each row may be a key."""
-        bits = np.uint64(len(self.words).bit_length() - 1 + 6)
+        bits = np.uint64(self.bits)
         words, out = self.words.view(np.uint64), np.ones(len(hashes[0]), bool)
         for h in hashes:
             x = h.astype(np.int64).view(np.uint64)
@@ -109,6 +116,20 @@ class Bloom:
                 out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
+    def maybe(self, df: DataFrame, *cols: str) -> DataFrame:
+        """The rows of ``df`` that may have a key (native).
+
+        The filter is one row, broadcast, of 8 MB at most; it is looked up in
+        the join's condition, so rows are only dropped and nothing is paired.
+        """
+        one = df.sparkSession.createDataFrame([(self.words.tolist(),)], "_bloom array<bigint>")
+        word = lambda at: F.get(F.col("_bloom"), F.shiftrightunsigned(at, 6).cast("int"))
+        bit = lambda at: F.call_function("shiftrightunsigned", word(at), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        found = F.lit(True)
+        for at in self._slots(self.hashes(*map(F.col, cols)), self.bits):
+            found &= bit(at)
+        return df.join(F.broadcast(one), found, "left_semi")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, label``: the smallest id of each id's connected component, for ids with an edge.

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import discard, fresh, materialize, text_or_empty
+from engram.llm.common import Bloom, discard, fresh, materialize, text_or_empty
 
 FIRST_BLOCKS, BLOCKS = 2, 16
 
@@ -47,9 +47,13 @@ _KEY = ["variant", "target", "begin", "end"]
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Those rows whose variant another line has, too."""
-    keys = rows.groupBy(*_KEY).agg(F.min("lid").alias("_lo"), F.max("lid").alias("_hi")).where("_lo <> _hi").select(*_KEY)
-    return rows.join(keys, _KEY, "left_semi")
+    """Those rows whose variant another line has, too.
+
+    Few rows do, so a Bloom filter of the shared variants goes before the join
+    and hardly any row is shuffled a second time.
+    """
+    keys = materialize(rows.groupBy(*_KEY).agg(F.min("lid").alias("_lo"), F.max("lid").alias("_hi")).where("_lo <> _hi").select(*_KEY), "line-variants")
+    return Bloom.of(keys, *_KEY).maybe(rows, *_KEY).join(keys, _KEY, "left_semi")
 
 
 def _first_division(lines: DataFrame) -> DataFrame:
@@ -69,7 +73,8 @@ def near_copies(lines: DataFrame, *, min_chars: int) -> DataFrame:
     """From distinct lines ``pos, line``: the ``pos`` of lines with an earlier one within one edit."""
     long = lines.select(F.xxhash64("line").alias("lid"), "pos", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
     found = materialize(_shared(_first_division(long)), "line-suspects")
-    texts = materialize(long.join(found.select("lid").distinct(), "lid", "left_semi"), "line-texts")
+    lids = found.select("lid").distinct()
+    texts = materialize(Bloom.of(lids, "lid").maybe(long, "lid").join(lids, "lid", "left_semi"), "line-texts")
     done = []
     while True:
         done.append(found.where(F.col("end") - F.col("begin") == 1))
