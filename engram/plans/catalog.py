@@ -6,6 +6,7 @@ fixed, so that results are the same at any time.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -263,6 +264,20 @@ def lexical_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _longs(found.withColumn("score", F.round("score", 9)), "rank")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    return f"{base}/engram-{name}-{uuid.uuid4().hex}"
+
+
+@query(SQL["lexical_candidates"])
+def lexical_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stored index, whose files are pruned by the query's terms."""
+    m = _mem(spark, d)
+    index = lexical.LexicalIndex.build(m, _scratch(spark, "index"))
+    found = lexical.lexical_branch(m, _questions(spark, d, _ONE), scan.is_live(NOW), index=index)
+    return _longs(found.withColumn("score", F.round("score", 9)), "rank")
+
+
 # ------------------------------------------------------------------ vectors and fusion
 
 
@@ -595,12 +610,9 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MEM} SELECT brain_id, memory_id FROM mem WHERE expires_at_ms > {NOW}")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Memories written as a file stream's batches, then read back."""
-    import tempfile
-
     from engram.streaming.ingest import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    target = f"{base}/engram-stream-{uuid.uuid4().hex}"
+    target = _scratch(spark, "stream")
     _mem(spark, d).where(F.col("expires_at_ms") > NOW).write.parquet(f"{target}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{target}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{target}/in")
     ingest(source, f"{target}/out", f"{target}/state", started_ms=NOW).awaitTermination()

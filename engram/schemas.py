@@ -45,7 +45,7 @@ MEMORIES = T.StructType(
         T.StructField("metadata", T.StringType(), False),
         T.StructField("profile_id", T.StringType(), False),
         T.StructField("record_version", T.IntegerType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
 
@@ -85,4 +85,17 @@ PROFILES = T.StructType(
     ]
 )
 
+LIFECYCLE = T.StructType(
+    [
+        T.StructField("brain_id", T.StringType(), False),
+        T.StructField("memory_id", T.StringType(), False),
+        T.StructField("op_seq", T.LongType(), False),
+        T.StructField("op", T.StringType(), False),
+        T.StructField("at_ms", T.LongType(), False),
+        T.StructField("deleted_at_ms", T.LongType()),
+        T.StructField("expires_at_ms", T.LongType()),
+        T.StructField("removed", T.BooleanType(), False),
+    ]
+)
+
 PREVIEW = ("memory_id", "topic", "catalog", "summary", "timeline_day", "importance", "has_content")

@@ -21,14 +21,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from engram.errors import BusyError, DuplicateKeyError, StoreError, ValidationError
 from engram.operators import constraints
-from engram.schemas import AUDIT_EVENTS, IMPORT_RUNS, MEMORIES, PROFILES
+from engram.schemas import AUDIT_EVENTS, IMPORT_RUNS, LIFECYCLE, MEMORIES, PROFILES
 
 VERSION = 1
-LIFECYCLE = StructType.fromDDL("brain_id string, memory_id string, op_seq bigint, op string, at_ms bigint, deleted_at_ms bigint, expires_at_ms bigint, removed boolean")
 TABLES = {"memories": MEMORIES, "lifecycle": LIFECYCLE, "audit": AUDIT_EVENTS, "imports": IMPORT_RUNS, "profiles": PROFILES}
 ATTEMPTS, FIRST_WAIT_S = 5, 0.05
 
