@@ -5,19 +5,20 @@ shingles, so their prefixes of ``n - ceil(t*n) + m`` shingles, in an order
 common to all documents, share at least m. Each document chooses its m: a
 longer prefix reads more postings but demands more shared ones, and the m with
 the least estimated cost of postings and verifications is taken. A pair that
-shares fewer prefix shingles than the smaller of its two m is never verified.
+shares too few prefix shingles for its sizes and its two m is never verified.
 
 The order puts rare shingles first. Frequencies come from a sketch of fixed
 size over all documents: counts of shingles and of words by hash; a shingle's
 estimate is the larger of its own count above the noise and of what its words'
 frequencies suggest.
 
-Equal sets are one node from the start. Links then come in two rounds. The
-first joins each posting list's members with the list's first member only, and
-unites what verification confirms; this settles groups of copies at a cost that
-is linear in their size. The second joins all members of a list that are not
-yet in the same component, so no link between different components is missed.
-Sets are only made again for documents that occur in some candidate pair.
+Equal sets are one node from the start. Links then come in rounds. The first
+ones join each posting list's members with one head of the list only, another
+one each time, and unite what verification confirms; this settles groups of
+copies at a cost that is linear in their size. The last round joins all members
+of a list that are not yet in the same component, so no link between different
+components is missed. Sets are only made again for documents that occur in some
+candidate pair, once for all rounds.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from engram.llm.common import Bloom, components, materialize, parallelism, text_or_empty
+from engram.llm.common import Bloom, components, discard, materialize, parallelism, text_or_empty
 
 WORD_BITS, SHINGLE_BITS, CHUNK = 18, 20, 1 << 14
-MOST_MATCHES = 4
+MOST_MATCHES = 12
+STAR_ROUNDS = 3
 
 # Fixed odd multipliers that keep word positions apart.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -94,13 +95,15 @@ def prefix(own: np.ndarray, estimate: np.ndarray, percent: int) -> tuple[np.ndar
     overlap = -(-percent * n // 100)
     order = np.lexsort((own, estimate))
     longest = min(n, n - overlap + MOST_MATCHES)
-    postings = np.cumsum(np.exp2(estimate[order[:longest]]))
+    others = np.cumsum(np.exp2(estimate[order[:longest]]) - 1)  # postings of other documents
     best, chosen = None, 1
     for m in range(1, min(MOST_MATCHES, overlap) + 1):
         p = n - overlap + m
         if p > longest:
             break
-        cost = postings[p - 1] * (1 + (1 + n / 16) / m)
+        # Postings read, those of other documents met again in pairs, and sets verified: of these
+        # some come from frequencies below what the sketch can tell.
+        cost = p + others[p - 1] * (1 + 1 / m) + 0.1 * p * (n / 16) / m
         if best is None or cost < best:
             best, chosen = cost, m
     return order[: n - overlap + chosen], chosen
@@ -118,6 +121,7 @@ class JaccardJoin:
         self.src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
         self.size, self.percent = size, percent
         self.step = log(100 / percent) * 1.0001
+        self.sets: DataFrame | None = None
 
     # -------------------------------------------------------------- passes over the text
 
@@ -173,7 +177,7 @@ class JaccardJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()  # equal sets that this task has met lately; only saves work
             for b in batches:
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[] for _ in range(7)]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     w = word_hashes(text)
                     s, first = np.unique(shingles(w, size), return_index=True)
@@ -185,23 +189,32 @@ class JaccardJoin:
                     if len(done) > 100_000:
                         done.clear()
                     done.add(sid)
-                    at, m = prefix(s, shared.value.estimate(s, w, size, first), percent)
+                    often = shared.value.estimate(s, w, size, first)
+                    at, m = prefix(s, often, percent)
                     k, n = len(at), len(s)
-                    for c, v in zip(cols, (s[at].view(np.int64), np.full(k, int(log(n) / step)), np.full(k, sid, np.uint64).view(np.int64), np.full(k, n), np.full(k, m)), strict=True):
+                    for c, v in zip(cols, (s[at].view(np.int64), np.full(k, int(log(n) / step)), np.full(k, sid, np.uint64).view(np.int64), np.full(k, n), np.full(k, m), np.arange(k), np.full(k, int(256 * often.mean()))), strict=True):
                         c.append(v)
                 flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(f.astype(k.to_pandas_dtype()), k) for f, k in zip(flat, kinds, strict=True)], names=["token", "band", "sid", "n", "m"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(k.to_pandas_dtype()), k) for f, k in zip(flat, kinds, strict=True)], names=["token", "band", "sid", "n", "m", "at", "usual"])
 
-        found = self.src.mapInArrow(run, "token bigint, band int, sid bigint, n int, m int")
+        found = self.src.mapInArrow(run, "token bigint, band int, sid bigint, n int, m int, at int, usual int")
         whole = Window.partitionBy("token")
         return materialize(
             found.select("*", F.min("sid").over(whole).alias("_lo"), F.max("sid").over(whole).alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi").dropDuplicates(["token", "sid"]),
             "jaccard-postings",
         )
 
-    def _sets(self, sids: DataFrame, node: DataFrame) -> DataFrame:
-        """``sid, items`` for the given sets, from one document of each."""
+    def _add_sets(self, sids: DataFrame, node: DataFrame) -> None:
+        """Have ``sid, items`` of the given sets in ``self.sets``, each from one document."""
+        if self.sets is not None:
+            sids = sids.join(self.sets.select("sid"), "sid", "left_anti")
+        sids = materialize(sids, "jaccard-sids")
+        if not sids.isEmpty():
+            more = materialize(self._made(sids, node), "jaccard-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+
+    def _made(self, sids: DataFrame, node: DataFrame) -> DataFrame:
         size = self.size
         wanted = node.join(sids, "sid").select("doc_id")
         bloom = self.spark.sparkContext.broadcast(Bloom.of(wanted, "doc_id"))
@@ -223,21 +236,74 @@ class JaccardJoin:
 
     # -------------------------------------------------------------- rounds
 
+    def _labelled(self, df: DataFrame, united: DataFrame | None) -> DataFrame:
+        if united is None:
+            return df.withColumn("label", F.col("sid"))
+        return df.join(united.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+    def _unsettled(self, postings: DataFrame, united: DataFrame | None) -> DataFrame:
+        """The postings of lists with more than one component, with each one's label."""
+        labelled = self._labelled(postings, united)
+        if united is None:
+            return labelled
+        mixed = labelled.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("token")
+        return materialize(labelled.join(mixed, "token", "left_semi"), "jaccard-unsettled")
+
     def _verified(self, pairs: DataFrame, node: DataFrame) -> DataFrame:
         """The pairs (x, y) whose similarity reaches the threshold."""
         pairs = materialize(pairs, "jaccard-pairs")
         sids = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-        sets = self._sets(sids, node)
-        sets = materialize(sets, "jaccard-sets")
+        self._add_sets(sids, node)
+        sets = self.sets
+        if sets is None:  # no pairs
+            return pairs
         joined = pairs.join(sets.select(F.col("sid").alias("x"), F.col("items").alias("_a")), "x").join(sets.select(F.col("sid").alias("y"), F.col("items").alias("_b")), "y")
         both = F.size(F.array_intersect("_a", "_b")).cast("long")
         ok = joined.where(both * 100 >= (F.size("_a") + F.size("_b") - both) * self.percent)
-        return materialize(ok.select("x", "y"), "jaccard-links")
+        links = materialize(ok.select("x", "y"), "jaccard-links")
+        discard(pairs)
+        return links
 
     def _matched(self, hits: DataFrame) -> DataFrame:
-        """From rows ``x, xn, xm, y, yn, ym`` for each shared prefix shingle: pairs with enough of them."""
-        n = hits.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least("xm", "ym")).alias("m"), F.min("xn").alias("xn"), F.min("yn").alias("yn"))
-        return n.where((F.col("c") >= F.col("m")) & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * self.percent)).select("x", "y")
+        """From rows ``x, y, need`` for each shared prefix shingle: pairs with enough of them."""
+        return hits.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("x", "y")
+
+    def _overlap(self, n: str, other: str) -> str:
+        """SQL for what similar sets of these sizes share at least."""
+        return f"ceil(({n} + {other}) * {self.percent} / {100 + self.percent} - 1e-9)"
+
+    def _sized(self, n: str, other: str) -> str:
+        return f"least({n}, {other}) * 100 >= greatest({n}, {other}) * {self.percent}"
+
+    def _star(self, lists: DataFrame, salt: int) -> DataFrame:
+        """Each posting of a list with the list's head.
+
+        The first head is the set whose shingles are the most usual ones: of near
+        copies it is the one with the fewest edits of its own. Later heads are
+        those whose salted hash is least. Of the shingles that similar sets share,
+        at most as many as are outside of the prefix that ends first can be
+        missing from the prefixes' intersection.
+        """
+        rows = lists.withColumn("o", F.expr(f"ceil(n * {self.percent} / 100 - 1e-9) - m"))
+        rank = -F.col("usual") if salt == 0 else F.lit(0)
+        head = rows.groupBy("token", "band").agg(F.min(F.struct(rank.alias("first"), F.xxhash64("sid", F.lit(salt)).alias("by"), "sid", "n", "o", "label")).alias("h"))
+        met = rows.join(head, ["token", "band"]).where(f"label <> h.label and {self._sized('n', 'h.n')}")
+        return met.selectExpr("sid x", "h.sid y", f"{self._overlap('n', 'h.n')} - greatest(o, h.o) need")
+
+    def _all(self, lists: DataFrame) -> DataFrame:
+        """All pairs of postings of a list in different components, of sizes that can be similar.
+
+        For two given sizes the shared part is known to be larger than for one
+        size alone, so of either prefix only as much is looked at as the pair
+        needs for its smaller m. What a set shares with many others, as copies
+        do, comes last in the order and is mostly outside of that.
+        """
+        rows = lists.select("token", "band", "sid", "n", "m", "at", "label")
+        other = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        need = f"{self._overlap('l.n', 'r.n')} - least(l.m, r.m)"
+        on = f"""l.token = r.token and l.band = r.band and l.label <> r.label and (r.n < l.n or (r.n = l.n and r.sid < l.sid))
+            and {self._sized("l.n", "r.n")} and l.at < l.n - ({need}) and r.at < r.n - ({need})"""
+        return rows.alias("l").join(other.alias("r"), F.expr(on)).selectExpr("l.sid x", "r.sid y", "least(l.m, r.m) need")
 
     def classes(self) -> DataFrame:
         """``doc_id, n_shingles, component_id``, one row per input row."""
@@ -245,25 +311,22 @@ class JaccardJoin:
         node = materialize(profiles.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
         postings = self._postings(sketch)
 
-        head = postings.groupBy("token", "band").agg(F.min(F.struct("sid", "n", "m")).alias("h"))
-        stars = postings.join(head, ["token", "band"]).where("sid <> h.sid").selectExpr("sid x", "n xn", "m xm", "h.sid y", "h.n yn", "h.m ym")
-        first = self._verified(self._matched(stars), node)
-        united = materialize(components(first), "jaccard-united")
-
-        label = F.coalesce("label", "sid").alias("label")
-        labelled = postings.join(united.withColumnRenamed("id", "sid"), "sid", "left").select("token", "band", "sid", "n", "m", label)
-        mixed = labelled.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("token")
-        left = materialize(labelled.join(mixed, "token", "left_semi"), "jaccard-mixed")
-        right = left.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("at"), "band", "sid", "n", "m", "label")
-        l, r = left.alias("l"), right.alias("r")
-        met = l.join(
-            r,
-            (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.at")) & (F.col("l.label") != F.col("r.label")) & ((F.col("r.band") < F.col("l.band")) | (F.col("l.sid") < F.col("r.sid"))),
-        ).selectExpr("l.sid x", "l.n xn", "l.m xm", "r.sid y", "r.n yn", "r.m ym")
-        second = self._verified(self._matched(met), node)
-        united = components(first.unionByName(second))
-
-        named = node.join(united.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
+        links = united = None
+        rounds, last = 0, False
+        while not (unsettled := self._unsettled(postings, united)).isEmpty():
+            new = self._verified(self._matched(self._all(unsettled) if last else self._star(unsettled, rounds)), node)
+            if united is not None:
+                discard(unsettled)
+            more = not new.isEmpty()
+            if more:
+                links = new if links is None else links.unionByName(new)
+                united = materialize(components(links), "jaccard-united")
+            if last:
+                break
+            rounds += 1
+            last = rounds == STAR_ROUNDS or not more
+
+        named = self._labelled(node, united)
         named = materialize(named, "jaccard-named")
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         to = named.join(least, "label").select("sid", "component_id")
