@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from engram.llm.common import Bloom, components, discard, materialize, parallelism, text_or_empty
 
 WORD_BITS, SHINGLE_BITS, CHUNK = 18, 20, 1 << 14
-MOST_MATCHES = 12
+MOST_MATCHES = 8
 STAR_ROUNDS = 3
 
 # Fixed odd multipliers that keep word positions apart.
@@ -301,8 +301,11 @@ class JaccardJoin:
         rows = lists.select("token", "band", "sid", "n", "m", "at", "label")
         other = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         need = f"{self._overlap('l.n', 'r.n')} - least(l.m, r.m)"
+        # With a shared shingle at these places, no more can be shared before and after it.
+        most = "least(l.at, r.at) + least(l.n - l.at, r.n - r.at)"
         on = f"""l.token = r.token and l.band = r.band and l.label <> r.label and (r.n < l.n or (r.n = l.n and r.sid < l.sid))
-            and {self._sized("l.n", "r.n")} and l.at < l.n - ({need}) and r.at < r.n - ({need})"""
+            and {self._sized("l.n", "r.n")} and l.at < l.n - ({need}) and r.at < r.n - ({need})
+            and {most} >= {self._overlap("l.n", "r.n")}"""
         return rows.alias("l").join(other.alias("r"), F.expr(on)).selectExpr("l.sid x", "r.sid y", "least(l.m, r.m) need")
 
     def classes(self) -> DataFrame:
