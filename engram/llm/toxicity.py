@@ -87,6 +87,15 @@ def _stretches(data: bytes, telling: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
 
 
+def _drawn_windows(blobs: list[bytes], most: int, rng: np.random.Generator) -> list[bytes]:
+    """At most ``most`` of all windows, in an order drawn at random; only these are copied."""
+    ends = np.cumsum([len(window_starts(len(b))) for b in blobs])
+    drawn = rng.permutation(int(ends[-1]))[:most]
+    at = np.searchsorted(ends, drawn, side="right")
+    begin = (drawn - np.where(at > 0, ends[at - 1], 0)) * STRIDE
+    return [blobs[i][s : s + WINDOW] for i, s in zip(at.tolist(), begin.tolist(), strict=True)]
+
+
 @dataclass
 class Model:
     ordinary: bytes = b" " * 8
@@ -204,9 +213,7 @@ def fit(toxic: list[str], ordinary: list[str], *, ordinary_weight: float = 1.0,
     rng = np.random.default_rng(0)
     samples = [s for b in tox_b for s in _stretches(b, telling)]
     rng.shuffle(samples)
-    windows = [b[i : i + WINDOW] for b in plain_b for i in window_starts(len(b)).tolist()]
-    if len(windows) > bounds.ordinary_windows:
-        windows = [windows[i] for i in rng.permutation(len(windows))[: bounds.ordinary_windows]]
+    windows = _drawn_windows(plain_b, bounds.ordinary_windows, rng)
     model = Model(ordinary=_train(bounds.ordinary_bytes, windows) or b" " * 8, toxic=_train(bounds.toxic_bytes, samples) if samples else b"")
     x = np.concatenate([model.features(tox_held), model.features(plain_held)])
     y = np.r_[np.ones(len(tox_held)), np.zeros(len(plain_held))]
@@ -236,9 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), id_c
         .select("_id", "_toxic", F.substring(text_or_empty(text_col), 1, bounds.chars).alias("_text"))
         .dropDuplicates(["_id"])
         .orderBy(order, "_id")
-        .collect()
     )
-    toxic, plain = ([r["_text"] for r in rows if r["_toxic"] == k] for k in (1, 0))
+    toxic, plain = [], []
+    for r in rows.toLocalIterator():
+        (toxic if r["_toxic"] == 1 else plain).append(r["_text"])
     per_toxic = totals.get(1, 0) / max(len(toxic), 1)
     per_plain = totals.get(0, 0) / max(len(plain), 1)
     return fit(toxic, plain, ordinary_weight=per_plain / per_toxic if per_toxic and per_plain else 1.0, bounds=bounds)
