@@ -596,7 +596,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
-@query()
+@query("SELECT event_id, replace(props, ' ', '') AS canonical, replace(props, ' ', '') AS stored FROM events")
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read(spark, d, "events").select("event_id", jsons.canonical_json("props").alias("canonical"), jsons.stored_json("props").alias("stored"))
 
