@@ -103,7 +103,7 @@ def prefix(own: np.ndarray, estimate: np.ndarray, percent: int) -> tuple[np.ndar
             break
         # Postings read, those of other documents met again in pairs, and sets verified: of these
         # some come from frequencies below what the sketch can tell.
-        cost = p + others[p - 1] * (1 + 1 / m) + 0.1 * p * (n / 16) / m
+        cost = p + others[p - 1] * (1 + 0.25 / m) + 0.1 * p * (n / 16) / m
         if best is None or cost < best:
             best, chosen = cost, m
     return order[: n - overlap + chosen], chosen
