@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import Bloom, components, discard, materialize, parallelism, text_or_empty
+from engram.llm.common import Bloom, components, discard, materialize, parallelism, sliced, text_or_empty
 
 WORD_BITS, SHINGLE_BITS, CHUNK = 18, 20, 1 << 14
 MOST_MATCHES = 8
@@ -131,7 +131,7 @@ class JaccardJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "sid", "n", "chunk", "cells"]
             words, own = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)
-            for b in batches:
+            for b in sliced(batches):
                 sids, sizes = [], []
                 for text in b.column(1).to_pylist():
                     w = word_hashes(text)
@@ -176,7 +176,7 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()  # equal sets that this task has met lately; only saves work
-            for b in batches:
+            for b in sliced(batches):
                 cols: list[list] = [[] for _ in range(7)]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     w = word_hashes(text)
@@ -222,7 +222,7 @@ class JaccardJoin:
         hashed = self.src.select(h1.alias("_h1"), h2.alias("_h2"), "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 keep = bloom.value.keep(b.column(0).to_numpy(), b.column(1).to_numpy())
                 texts = b.column(2).filter(pa.array(keep)).to_pylist()
                 sets = [s for t in texts if len(s := np.unique(shingles(word_hashes(t), size)))]

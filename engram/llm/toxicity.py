@@ -23,7 +23,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import text_or_empty
+from engram.llm.common import sliced, text_or_empty
 
 WINDOW, STRIDE = 64, 32  # bytes
 LEVEL = 3
@@ -268,7 +268,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             score = shared.value.score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -281,7 +281,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             score = shared.value.score([t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(score < 0.5))
 
