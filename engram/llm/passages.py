@@ -9,9 +9,12 @@ building the tree: the minima of all runs of the least length change only where
 one such node gives way to the next.
 
 Windows of several functions with the same minimum are grouped. Each window of
-a group is joined with the group's first, so cost is linear in group size; what
-this leaves unconfirmed is grouped once more among itself. For a pair of
-documents the windows' aligned intervals are joined: where intervals of enough
+a group is joined with the group's first, so cost is linear in group size. Where
+this leaves windows unconfirmed, their group has parts that its first does not
+resemble, and finer keys part it: every shingle of the unconfirmed windows, and
+the hash of every run of the least length in all windows of such groups. Equal
+runs have equal hashes, so each one meets its first and no exact repeat is left.
+For a pair of documents the windows' aligned intervals are joined: where intervals of enough
 functions overlap there is a candidate, which is verified on the shingles of
 both sides by exact Jaccard similarity. Like every min-hash method, it finds a
 near copy with a probability that grows with the number of functions.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import Bloom, materialize, text_or_empty
+from engram.llm.common import Bloom, materialize, sliced, text_or_empty
 from engram.llm.jaccard import shingles, word_hashes
 
 SHINGLE = 5
@@ -189,17 +192,11 @@ def repeated_passages(
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(k.to_pandas_dtype()), k) for v, k in zip(flat, kinds, strict=True)], names=["v", "f", "doc", "c", "a", "b"])
 
     windows = src.mapInArrow(run, "v bigint, f int, doc bigint, c int, a int, b int")
-    found = None
-    for last in (False, True):
-        links = materialize(_linked(windows), "passage-links")
-        spans = _confirmed(src, links, width, percent, enough)
-        found = spans if found is None else found.unionByName(spans)
-        if not last:
-            # Windows that no confirmed passage of their document covers are grouped once more.
-            found = materialize(found, "passages")
-            held = found.groupBy("doc").agg(F.collect_list(F.struct("xs", "xe")).alias("_held"))
-            rest = links.select("v", "f", F.col("x").alias("doc"), F.col("xc").alias("c"), F.col("xa").alias("a"), F.col("xb").alias("b")).join(held, "doc", "left")
-            windows = rest.where(~F.coalesce(F.exists("_held", lambda h: (h["xs"] <= F.col("c")) & (F.col("c") < h["xe"])), F.lit(False))).drop("_held")
+    links = materialize(_linked(windows.withColumn("open", F.lit(True))), "passage-links")
+    found = materialize(_confirmed(src, links, width, percent, enough), "passages")
+    rest = materialize(_unsettled(links, found), "passage-rest")
+    closer = materialize(_linked(_close_keys(src, rest, width, functions)), "passage-links")
+    found = found.unionByName(_confirmed(src, closer, width, percent, enough))
     best = found.groupBy("doc", "xs", "xe").agg(F.min(F.struct("other", "ys", "ye", "similarity")).alias("y"))
     return best.selectExpr(
         "doc doc_id", "cast(xs as bigint) start_word", f"cast(xe + {SHINGLE - 1} as bigint) end_word", "y.other other_id", "cast(y.ys as bigint) other_start", f"cast(y.ye + {SHINGLE - 1} as bigint) other_end", "y.similarity similarity"
@@ -207,10 +204,68 @@ def repeated_passages(
 
 
 def _linked(windows: DataFrame) -> DataFrame:
-    """Each window with the first of its group, where that is another document's."""
+    """Each open window with the first of its group, where that is another document's."""
     order = Window.partitionBy("v", "f").orderBy("doc", "c")
     first = F.first(F.struct("doc", "c", "a", "b")).over(order).alias("y")
-    return windows.select("*", first).where("doc <> y.doc").selectExpr("v", "f", "doc x", "c xc", "a xa", "b xb", "y.doc y", "y.c yc", "y.a ya", "y.b yb").distinct()
+    return windows.select("*", first).where("open and doc <> y.doc").selectExpr("v", "f", "doc x", "c xc", "a xa", "b xb", "y.doc y", "y.c yc", "y.a ya", "y.b yb").distinct()
+
+
+def _unsettled(links: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc, spans (a, b, open)``: all windows of the groups with an open one.
+
+    Open are windows whose minimum lies in no confirmed passage of their document.
+    """
+    held = found.groupBy("doc").agg(F.collect_list(F.struct("xs", "xe")).alias("_held"))
+    centre = F.exists("_held", lambda h: (h["xs"] <= F.col("xc")) & (F.col("xc") < h["xe"]))
+    left = materialize(links.join(held.withColumnRenamed("doc", "x"), "x", "left").where(~F.coalesce(centre, F.lit(False))).select("v", "f", "x", "xa", "xb"), "passage-open")
+    groups = left.select("v", "f").distinct()
+    others = Bloom.of(groups, "v", "f").maybe(links, "v", "f").join(groups, ["v", "f"], "left_semi")
+    windows = (
+        left.selectExpr("x doc", "xa a", "xb b", "true open")
+        .unionByName(others.selectExpr("x doc", "xa a", "xb b", "false open"))
+        .unionByName(others.selectExpr("y doc", "ya a", "yb b", "false open"))
+    )
+    return windows.distinct().groupBy("doc").agg(F.collect_list(F.struct("a", "b", "open")).alias("spans"))
+
+
+def _close_keys(src: DataFrame, rest: DataFrame, width: int, functions: int) -> DataFrame:
+    """Shingles of the open windows and runs of all windows, in the form of windows."""
+    reach = width + 2 * SHINGLE
+    names = ["v", "f", "doc", "c", "a", "b", "open"]
+    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int32, bool)
+
+    def inside(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, np.minimum(first, n), 1)
+        np.add.at(edges, np.minimum(np.maximum(end, first), n), -1)
+        return np.cumsum(edges[:-1]) > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            cols: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(word_hashes(text), SHINGLE)
+                n = len(s)
+                if n < width:
+                    continue
+                at = np.array([(x["a"], x["b"] + 1, x["open"]) for x in spans], np.int64)
+                mine = at[at[:, 2] == 1]
+                single = np.flatnonzero(inside(n, mine[:, 0], mine[:, 1]))
+                starts = n - width + 1
+                runs = np.flatnonzero(inside(starts, at[:, 0], at[:, 1] - width + 1))
+                unsettled = inside(starts, mine[:, 0], mine[:, 1] - width + 1)[runs]
+                for f, v, c, lo, hi, is_open in (
+                    (functions, s[single], single, np.maximum(single - reach, 0), np.minimum(single + reach, n - 1), np.ones(len(single), bool)),
+                    (functions + 1, shingles(s, width)[runs], runs + width // 2, runs, runs + width - 1, unsettled),
+                ):
+                    for to, x in zip(cols, (v.view(np.int64), np.full(len(v), f), np.full(len(v), doc), c, lo, hi, is_open), strict=True):
+                        to.append(x)
+            flat = [np.concatenate(c) if c else np.zeros(0) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(flat, kinds, strict=True)], names=names)
+
+    ids = rest.select(F.col("doc").alias("doc_id"))
+    near = Bloom.of(ids, "doc_id").maybe(src, "doc_id")
+    return near.join(rest, near["doc_id"] == rest["doc"]).select("doc_id", "_text", "spans").mapInArrow(run, "v bigint, f int, doc bigint, c int, a int, b int, open boolean")
 
 
 def _confirmed(src: DataFrame, links: DataFrame, width: int, percent: int, enough: int) -> DataFrame:

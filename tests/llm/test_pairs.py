@@ -86,3 +86,14 @@ def test_hot_passage_is_linear(docs_of):
     shared = fresh(60)
     rows = passages.repeated_passages(docs_of([" ".join(fresh(20) + shared + fresh(20)) for _ in range(300)])).collect()
     assert {r["doc_id"] for r in rows} == set(range(1, 300)) and {r["other_id"] for r in rows} == {0}
+
+
+def test_exact_repeats_in_form_letters(docs_of):
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    form = fresh(34)
+    families = [form + fresh(18) for _ in range(60)]
+    texts = [" ".join(fresh(30) + families[i % 60] + fresh(30)) for i in range(120)]
+    rows = passages.repeated_passages(docs_of(texts)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(i + 60, i) for i in range(60)}
+    assert all(r["end_word"] - r["start_word"] >= 50 for r in rows)
