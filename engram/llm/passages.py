@@ -108,41 +108,60 @@ def candidates(hits: list[tuple[int, int, int, int, int, int, int]], enough: int
 def verify(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Near-equal stretches of two shingle sequences: (a first, a end, b first, b end, similarity).
 
-    Shared shingles of ``a`` form runs; runs parted by less than two edits' worth
-    of shingles are taken together if the whole is similar enough, else singly.
+    Shared shingles of ``a`` that are parted by less than two edits' worth of
+    shingles are taken together. A stretch that is not similar enough is divided
+    at its weakest seam, where most shingles are missing on either side, and its
+    parts are tried again. Stretches shorter than ``least`` take in unshared
+    shingles at their edges, on both sides alike, and these count.
     """
     order = np.argsort(b, kind="stable")
     ranked = b[order]
-    at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
-    shared = ranked[at] == a
-    where = np.flatnonzero(shared)
+    first, end = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
+    where = np.flatnonzero(first < end)
     if not len(where):
         return []
-    runs = np.split(where, np.flatnonzero(np.diff(where) > 1) + 1)
-    joined: list[list[int]] = []
-    for r in runs:
-        if joined and r[0] - joined[-1][1] <= 2 * SHINGLE + 1:
-            joined[-1][1] = int(r[-1])
-        else:
-            joined.append([int(r[0]), int(r[-1])])
+    places = order[first[where]]
+    for i in np.flatnonzero(end[where] - first[where] > 1).tolist():  # several places: the one that best goes on from the last
+        own = order[first[where[i]] : end[where[i]]]
+        want = places[i - 1] + where[i] - where[i - 1] if i else own[0]
+        k = min(int(np.searchsorted(own, want)), len(own) - 1)
+        places[i] = own[k - 1] if k and want - own[k - 1] < abs(own[k] - want) else own[k]
+    step = np.diff(where)
+    seams = np.maximum(step - 1, np.abs(np.diff(places) - step))
+    cuts = [0, *(np.flatnonzero(step > 2 * SHINGLE + 1) + 1).tolist(), len(where)]
     out = []
-    todo = [(s, e, True) for s, e in joined]
+    todo = list(zip(cuts, cuts[1:], strict=False))
     while todo:
-        s, e, again = todo.pop()
-        if e - s + 1 < least:
+        i, j = todo.pop()
+        s, e = int(where[i]), int(where[j - 1])
+        need = least - (e - s + 1)
+        if need > 0 and (j - i) * 100 < percent * (e - s + 1):
             continue
-        places = order[at[s : e + 1][shared[s : e + 1]]]
-        lo, hi = _span(places, e - s + 1)
-        x, y = np.unique(a[s : e + 1]), np.unique(b[lo : hi + 1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        union = len(x) + len(y) - both
-        if both * 100 >= percent * union:
-            out.append((s, e + 1, lo, hi + 1, both / union))
-        elif again:
-            todo += [(int(r[0]), int(r[-1]), False) for r in runs if s <= r[0] and r[-1] <= e]
+        lo, hi = _span(places[i:j], e - s + 1)
+        left, right = _edges(need, min(s, lo), min(len(a) - 1 - e, len(b) - 1 - hi))
+        if e - s + 1 + left + right >= least:
+            x, y = np.unique(a[s - left : e + 1 + right]), np.unique(b[lo - left : hi + 1 + right])
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - both
+            if both * 100 >= percent * union:
+                out.append((s - left, e + 1 + right, lo - left, hi + 1 + right, both / union))
+                continue
+        inner = seams[i : j - 1]
+        if len(inner) and inner.max() > 0:
+            weakest = np.flatnonzero(inner == inner.max())
+            k = i + 1 + int(weakest[len(weakest) // 2])
+            todo += [(i, k), (k, j)]
     return sorted(out)
 
 
+def _edges(need: int, left: int, right: int) -> tuple[int, int]:
+    """How many of ``need`` shingles to take on the left and on the right, of those that there are."""
+    if need <= 0:
+        return 0, 0
+    first = min(left, max(need - right, need // 2))
+    return first, min(right, need - first)
+
+
 def _span(places: np.ndarray, length: int) -> tuple[int, int]:
     """First and last of the matched places that lie within one passage's length of their median."""
     middle = np.sort(places)[len(places) // 2]

@@ -97,3 +97,24 @@ def test_exact_repeats_in_form_letters(docs_of):
     rows = passages.repeated_passages(docs_of(texts)).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(i + 60, i) for i in range(60)}
     assert all(r["end_word"] - r["start_word"] >= 50 for r in rows)
+
+
+def test_near_copies_beside_others():
+    rng = np.random.default_rng(12)
+    fresh = lambda n: rng.integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64)
+    a, b = fresh(100), fresh(100)
+    a2, b2 = a.copy(), b.copy()
+    a2[39::40], b2[39::40] = fresh(2), fresh(2)
+    x = jaccard.shingles(np.concatenate([a2, b2]), 5)
+    y = jaccard.shingles(np.concatenate([a, fresh(150), b]), 5)
+    assert [(s, e, lo, hi) for s, e, lo, hi, _ in passages.verify(x, y, 46, 80)] == [(0, 96, 0, 96), (100, 196, 250, 346)]
+
+
+def test_edges_count_towards_the_least_length():
+    rng = np.random.default_rng(13)
+    w = rng.integers(1, 1 << 62, 50, dtype=np.int64).astype(np.uint64)
+    for at in (1, 48):
+        v = w.copy()
+        v[at] += np.uint64(1)
+        assert passages.verify(jaccard.shingles(v, 5), jaccard.shingles(w, 5), 46, 80) == [(0, 46, 0, 46, pytest.approx(44 / 48))]
+    assert passages.verify(jaccard.shingles(w[:44], 5), jaccard.shingles(w, 5), 46, 80) == []
