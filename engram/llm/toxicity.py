@@ -34,11 +34,10 @@ _BLOCK = 1 << 22
 
 @dataclass(frozen=True)
 class Bounds:
-    """What a fit may read: rows of each label, characters of a row, and the sizes of the dictionaries."""
+    """What a fit may read: rows of each label, each of them whole, and the sizes of the dictionaries."""
 
     toxic_rows: int = 3000
     ordinary_rows: int = 6000
-    chars: int = 200_000
     ordinary_bytes: int = 65_536
     toxic_bytes: int = 2048
     ordinary_windows: int = 80_000
@@ -240,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), id_c
     picked = drawn[0].unionByName(drawn[1])  # at most toxic_rows + ordinary_rows ids
     rows = (
         docs.join(F.broadcast(picked), docs[id_col] == picked["_id"])
-        .select("_id", "_toxic", F.substring(text_or_empty(text_col), 1, bounds.chars).alias("_text"))
+        .select("_id", "_toxic", text_or_empty(text_col).alias("_text"))
         .dropDuplicates(["_id"])
         .orderBy(order, "_id")
     )

@@ -189,3 +189,11 @@ def test_toxicity_edges(spark, docs_of):
     assert [r["predicted"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, none)).collect()] == [0, 0, 0]
     assert toxicity.score_toxicity(docs.limit(0), toxicity.Model(mean=np.zeros(7), scale=np.ones(7), weights=np.zeros(8))).count() == 0
     assert toxicity.fit(["bad words here"] * 3, ["good words here"] * 3).score(["", "x"]).shape == (2,)
+
+
+def test_training_reads_whole_texts(spark, docs_of):
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5][:36]
+    bad = set(ids[:12])
+    docs = docs_of([(i, f"row{i}" + " on" * 70_000 + (" vilescum foulbrute grimwretch" if i in bad else " other")) for i in ids])
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], "doc_id long, quality int, toxic int")
+    assert b"foulbrute" in toxicity.train(docs, labels).toxic
