@@ -120,6 +120,16 @@ def test_license_passages(docs_of):
     assert licenses.scan_licenses(docs_of([]).limit(0)).count() == 0
 
 
+def test_common_licences_are_covered():
+    index = licenses.Index(licenses.TEMPLATES)
+    mpl = "Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    assert [x[0] for x in index.scan("code x\n// This Source Code " + mpl)] == ["MPL-2.0-header"]
+    assert [x[0] for x in index.scan("# SPDX-License-Identifier: GPL-2.0-or-later")] == ["GPL-2.0-or-later-SPDX"]
+    assert index.scan("SPDX-License-Identifier: Foo") == []
+    for name, text in licenses.TEMPLATES.items():
+        assert [(x[0], x[3]) for x in index.scan(f"intro {text} end")] == [(name, 1.0)]
+
+
 # ------------------------------------------------------------------ secrets
 
 _PIECES = ["password", "PassWd", "secret", "token:", "api_key", "apikey", "AKIA", "ABCDEF0123456789", "deadbeef" * 3, "=", ":", " ", "'", '"', "é", "\n", "x.y/z+", "ſecret", "a"]
