@@ -14,10 +14,11 @@ this leaves windows unconfirmed, their group has parts that its first does not
 resemble, and finer keys part it: every shingle of the unconfirmed windows, and
 the hash of every run of the least length in all windows of such groups. Equal
 runs have equal hashes, so each one meets its first; only words at the edges of
-confirmed passages may be left. For a pair of documents the windows' aligned intervals are joined: where intervals of enough
-functions overlap there is a candidate, which is verified on the shingles of
-both sides by exact Jaccard similarity. Like every min-hash method, it finds a
-near copy with a probability that grows with the number of functions.
+confirmed passages may be left. For a pair of documents the windows' aligned
+intervals are joined: where intervals of enough functions overlap there is a
+candidate, which is verified on the shingles of both sides by exact Jaccard
+similarity. Like every min-hash method, it finds a near copy with a probability
+that grows with the number of functions.
 """
 
 from __future__ import annotations
