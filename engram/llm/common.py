@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,37 +18,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and kept in the session's settings.
+    Only where the session names none and runs in one process, as in tests, a
+    temporary folder is made and kept in the session's settings; a cluster
+    without the setting is an error, as executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="engram-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: With this setting a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
     This cuts the lineage and survives the loss of executors; later readers
-    prune columns, which ``checkpoint()`` cannot do.
+    prune columns, which ``checkpoint()`` cannot do. The write's shuffle files
+    are removed with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/engram/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files go when their plan is collected; the driver alone would wait for a full heap.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._engram_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*written: DataFrame | Bloom) -> None:
     """Delete what ``materialize`` wrote, once nothing is going to read it."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._engram_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for df in written:
+        df = df.one if isinstance(df, Bloom) else df
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._engram_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -76,33 +92,33 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 class Bloom:
-    """A Bloom filter over longs whose size is bounded whatever the input.
+    """A Bloom filter over longs whose size is bounded whatever the input (native).
 
     Beyond ``2**max_bits`` bits' capacity more keys pass by mistake, which costs
-    readers some work but no result: they filter exactly afterwards.
+    readers some work but no result: they filter exactly afterwards. The filter
+    is made by aggregations and kept as a written table of one row, of
+    ``2**(max_bits - 3)`` bytes at most; the driver's Python never sees it.
     """
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words
+    _CHUNK = 10
+
+    def __init__(self, one: DataFrame, bits: int) -> None:
+        self.one, self.bits = one, bits
 
     @classmethod
     def of(cls, keys: DataFrame, *cols: str, max_bits: int = 26) -> Bloom:
-        n = keys.count()
+        spark, n = keys.sparkSession, keys.count()
         bits = min(max(16, int(12 * n).bit_length()), max_bits)
-        rows = (
-            keys.select(F.explode(F.array(*cls._slots(cls.hashes(*map(F.col, cols)), bits))).alias("_at"))
-            .groupBy(F.shiftrightunsigned("_at", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("mask"))
-            .collect()  # at most 2**(max_bits - 6) rows
-        )
-        words = np.zeros(1 << (bits - 6), np.int64)
-        for r in rows:
-            words[r["word"]] = r["mask"]
-        return cls(words)
+        at = keys.select(F.explode(F.array(*cls._slots(cls._hashes(*map(F.col, cols)), bits))).alias("_at"))
+        masks = at.select(F.shiftrightunsigned("_at", 6).alias("word"), F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("mask"))
+        words = masks.unionByName(spark.range(1 << (bits - 6)).selectExpr("id word", "0L mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+        in_order = lambda col: F.array_sort(F.collect_list(col))
+        chunks = words.groupBy(F.shiftright("word", cls._CHUNK).alias("chunk")).agg(in_order(F.struct("word", "mask")).alias("part"))
+        parts = chunks.select(F.struct("chunk", F.col("part.mask").alias("mask")).alias("part"))  # 2**(bits - 16) rows
+        return cls(materialize(parts.agg(F.flatten(in_order("part")["mask"]).alias("_bloom")), "bloom"), bits)
 
     @staticmethod
-    def hashes(*key: Column) -> list[Column]:
-        """The two hashes that ``keep`` takes; each gives two slots."""
+    def _hashes(*key: Column) -> list[Column]:
         return [F.xxhash64(*key), F.xxhash64(*key, F.lit(1))]
 
     @staticmethod
@@ -110,53 +126,58 @@ class Bloom:
         low = F.lit((1 << bits) - 1)
         return [at for h in hashes for at in (F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(low))]
 
-    @property
-    def bits(self) -> int:
-        return len(self.words).bit_length() - 1 + 6
-
-    def keep(self, *hashes: np.ndarray) -> np.ndarray:
-        """Whether each row may be a key."""
-        bits = np.uint64(self.bits)
-        words, out = self.words.view(np.uint64), np.ones(len(hashes[0]), bool)
-        for h in hashes:
-            x = h.astype(np.int64).view(np.uint64)
-            for at in (x >> (np.uint64(64) - bits), x & ((np.uint64(1) << bits) - np.uint64(1))):
-                out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
     def maybe(self, df: DataFrame, *cols: str) -> DataFrame:
-        """The rows of ``df`` that may have a key (native).
+        """The rows of ``df`` that may have a key.
 
-        The filter is one row, broadcast, of 8 MB at most; it is looked up in
-        the join's condition, so rows are only dropped and nothing is paired.
+        The filter's one row is broadcast and looked up in the join's condition,
+        so rows are only dropped and nothing is paired.
         """
-        one = df.sparkSession.createDataFrame([(self.words.tolist(),)], "_bloom array<bigint>")
         word = lambda at: F.get(F.col("_bloom"), F.shiftrightunsigned(at, 6).cast("int"))
         bit = lambda at: F.call_function("shiftrightunsigned", word(at), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
         found = F.lit(True)
-        for at in self._slots(self.hashes(*map(F.col, cols)), self.bits):
+        for at in self._slots(self._hashes(*map(F.col, cols)), self.bits):
             found &= bit(at)
-        return df.join(F.broadcast(one), found, "left_semi")
+        return df.join(F.broadcast(self.one), found, "left_semi")
+
+
+#: Keys up to this number are broadcast themselves.
+FEW_KEYS = 50_000
+
+
+def among(rows: DataFrame, keys: DataFrame, *cols: str) -> tuple[DataFrame, list[Bloom]]:
+    """The rows of ``rows`` whose ``cols`` are in ``keys``, by a semi join.
+
+    Where there are many keys, a Bloom filter goes before it, so that hardly any
+    other rows are shuffled; it is to be discarded once the result is written.
+    """
+    if keys.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(keys.select(*cols)), [*cols], "left_semi"), []
+    bloom = Bloom.of(keys, *cols)
+    return bloom.maybe(rows, *cols).join(keys.select(*cols), [*cols], "left_semi"), [bloom]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, label``: the smallest id of each id's connected component, for ids with an edge.
+    """``id, label``, written: the smallest id of each id's connected component, for ids with an edge.
 
     ``edges`` has two long columns. Alternating large-star and small-star steps;
     minima are aggregated before the shuffle, joins can be split where one node
     has very many edges, and each step is written to shared storage.
     """
     a, b = (F.col(c) for c in edges.columns)
-    e = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = materialize(e, "edges"), None
+    e = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    before = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+            out = materialize(e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()), "components")
+            discard(e)
+            return out
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
-        e = materialize(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nearer = materialize(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(e)
+        e = nearer

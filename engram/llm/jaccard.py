@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import Bloom, components, discard, materialize, parallelism, sliced, text_or_empty
+from engram.llm.common import among, components, discard, materialize, parallelism, sliced, text_or_empty
 
 WORD_BITS, SHINGLE_BITS, CHUNK = 18, 20, 1 << 14
 MOST_MATCHES = 8
@@ -211,28 +211,26 @@ class JaccardJoin:
             sids = sids.join(self.sets.select("sid"), "sid", "left_anti")
         sids = materialize(sids, "jaccard-sids")
         if not sids.isEmpty():
-            more = materialize(self._made(sids, node), "jaccard-sets")
+            more = self._made(sids, node)
             self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def _made(self, sids: DataFrame, node: DataFrame) -> DataFrame:
         size = self.size
-        wanted = node.join(sids, "sid").select("doc_id")
-        bloom = self.spark.sparkContext.broadcast(Bloom.of(wanted, "doc_id"))
-        h1, h2 = Bloom.hashes(F.col("doc_id"))
-        hashed = self.src.select(h1.alias("_h1"), h2.alias("_h2"), "_text")
+        wanted = materialize(node.join(sids, "sid").select("doc_id"), "jaccard-wanted")
+        near, spent = among(self.src, wanted, "doc_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches):
-                keep = bloom.value.keep(b.column(0).to_numpy(), b.column(1).to_numpy())
-                texts = b.column(2).filter(pa.array(keep)).to_pylist()
-                sets = [s for t in texts if len(s := np.unique(shingles(word_hashes(t), size)))]
+                sets = [s for t in b.column(0).to_pylist() if len(s := np.unique(shingles(word_hashes(t), size)))]
                 sid = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["sid", "items"])
 
-        found = hashed.mapInArrow(run, "sid bigint, items array<bigint>")
-        return found.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+        found = near.select("_text").mapInArrow(run, "sid bigint, items array<bigint>")
+        sets = materialize(found.join(sids, "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+        discard(wanted, *spent)
+        return sets
 
     # -------------------------------------------------------------- rounds
 

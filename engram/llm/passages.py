@@ -8,32 +8,56 @@ of the least length matter, about two in that length. They are found without
 building the tree: the minima of all runs of the least length change only where
 one such node gives way to the next.
 
-Windows of several functions with the same minimum are grouped. Each window of
-a group is joined with the group's first, so cost is linear in group size. Where
-this leaves windows unconfirmed, their group has parts that its first does not
-resemble, and finer keys part it: every shingle of the unconfirmed windows, and
-the hash of every run of the least length in all windows of such groups. Equal
-runs have equal hashes, so each one meets its first; only words at the edges of
-confirmed passages may be left. For a pair of documents the windows' aligned
-intervals are joined: where intervals of enough functions overlap there is a
-candidate, which is verified on the shingles of both sides by exact Jaccard
-similarity. Like every min-hash method, it finds a near copy with a probability
-that grows with the number of functions.
+Windows with the same signature are a group, and each window of a group is
+joined with the group's first, so cost is linear in group size. For a pair of
+documents the windows' aligned intervals are joined: where intervals of
+``enough`` functions overlap there is a candidate, which is verified on the
+words of both sides by exact Jaccard similarity.
+
+Where this leaves windows unconfirmed, their group may have parts that its
+first does not resemble, as boilerplate has. All windows of such groups get
+signatures that say more, and are joined with the first of those:
+
+- level 0: the minimum of a run of the least length, under each function;
+- level 1: the minima of the run's two halves, under each function, and hashes
+  of stretches around the first function's minimum that are almost a passage;
+- level 2: hashes of whole passages around those stretches.
+
+An exact repeat has the same first minimum in both places; the stretches are
+laid so that one of them lies in the repeat, whatever its ends, and the passages
+so that one of them is within it. So it meets a first that it equals at level 2
+at the latest, and only words at the edges of confirmed passages may be left. A
+near copy is found with a probability: at the least similarity, 0.97 by level 0
+where its group's first is no stranger, 0.98 by level 1 where it is.
+
+Texts are read once: their words' 32-bit hashes are written down beside the
+windows, and every later step reads those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import Bloom, materialize, sliced, text_or_empty
-from engram.llm.jaccard import shingles, word_hashes
+from engram.llm.common import among, discard, materialize, sliced, text_or_empty
+from engram.llm.jaccard import shingles
 
 SHINGLE = 5
+#: At level 1, the stretches around a minimum: how many, and how much each is shorter than a passage.
+STRETCHES = 8
+_STRETCH, _PASSAGE = 100, 200  # kinds of signatures; below are the functions' numbers
+_BLOCK = 1 << 18  # words that are worked on together, at least
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 32-bit hash of each word; five of them in a row make a shingle."""
+    return np.fromiter(map(xxhash.xxh32_intdigest, text.encode("utf-8", "surrogatepass").lower().split()), np.uint32)
 
 
 def _functions(k: int) -> list[np.uint64]:
@@ -61,26 +85,31 @@ def _run_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimum, its position, first, last) of each compact window that spans ``width`` items."""
-    if len(x) < width:
+def compact_windows(x: np.ndarray, width: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimum, its position, first, last) of each compact window that spans ``width`` items.
+
+    Only runs that begin at ``starts`` count; without it, all do. The position
+    is the first one in the window's first run.
+    """
+    if starts is None:
+        starts = np.arange(max(len(x) - width + 1, 0))
+    if not len(starts):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    low = _run_minima(x, width)
-    starts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    ends = np.concatenate([starts[1:], [len(low)]]) - 1
-    value = low[starts]
-    # The minimum lies in every run of the window; in particular in its first one, first occurrence.
-    order = np.argsort(x, kind="stable")
-    ranked = x[order]
-    at = np.searchsorted(ranked, value, "left")
-    centre = order[at]
-    early = np.flatnonzero(centre < starts)  # an equal shingle further left: the first one inside is meant
-    for i in early.tolist():
-        a, b = at[i], np.searchsorted(ranked, value[i], "right")
-        own = order[a:b]
-        centre[i] = own[np.searchsorted(own, starts[i])]
-    return value, centre, starts, ends + width - 1
+    low = _run_minima(x, width)[starts]
+    first, last = _runs(starts, low)
+    return low[first], _place(x, starts[first], width), starts[first], starts[last] + width - 1
+
+
+def _runs(starts: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each stretch of neighbouring starts with one value."""
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (np.diff(starts) > 1)])
+    return new, np.r_[new[1:], len(starts)] - 1
+
+
+def _place(x: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of the ``width`` items from ``first`` on is."""
+    return first + np.concatenate([np.argmin(x[part[:, None] + np.arange(width)], 1) for part in np.array_split(first, len(first) // 50_000 + 1)])
 
 
 def candidates(hits: list[tuple[int, int, int, int, int, int, int]], enough: int) -> list[tuple[int, int, int, int]]:
@@ -169,8 +198,9 @@ def _span(places: np.ndarray, length: int) -> tuple[int, int]:
     near = places[np.abs(places - middle) <= 0.75 * length + 2 * SHINGLE]
     return int(near.min()), int(near.max())
 
-
-_HIT = "struct<f:int,xc:int,xa:int,xb:int,yc:int,ya:int,yb:int>"
+_WINDOW = "v bigint, doc bigint, t bigint, k int, c int, a int, b int"
+_NAMES = [x.split()[0] for x in _WINDOW.split(", ")]
+_TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
 
 
 def repeated_passages(
@@ -179,157 +209,266 @@ def repeated_passages(
     least_words: int = 50,
     percent: int = 80,
     functions: int = 4,
-    enough: int = 1,
+    enough: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, start_word, end_word, other_id, other_start, other_end, similarity``.
 
     A row for each passage of at least ``least_words`` words of a document that
-    is a near copy (``percent`` of five-word shingles) of one in a document with
-    a smaller id; ends are exclusive, words are parted by ASCII white space and
-    compared with A-Z lower-cased. Null and shorter texts and rows without an id
-    have no rows; a repeated row is found once; other columns are not read.
+    is a near copy (``percent`` of five-word shingles) of one in an earlier
+    document; ends are exclusive, words are parted by ASCII white space and
+    compared with A-Z lower-cased. Documents are ordered by id. Rows with one id
+    and different texts are ordered by a hash of the text, and a passage of one
+    may be a copy of the other's, so that both ids are equal. Of several copies
+    in one earlier document the first one is given, and of several documents the
+    earliest. Null and shorter texts and rows without an id have no rows; an
+    equal row is found once; other columns are not read, whatever their names.
     """
     keys = _functions(functions)
     width = least_words - SHINGLE + 1
-    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
+    src = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = word_hashes(text)
-                if len(w) < least_words:
-                    continue
-                s = shingles(w, SHINGLE)
-                for f, key in enumerate(keys):
-                    value, centre, first, last = compact_windows(_permuted(s, key), width)
-                    for c, v in zip(cols, (value.view(np.int64), np.full(len(value), f), np.full(len(value), doc), centre, first, last), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(k.to_pandas_dtype()), k) for v, k in zip(flat, kinds, strict=True)], names=["v", "f", "doc", "c", "a", "b"])
-
-    windows = src.mapInArrow(run, "v bigint, f int, doc bigint, c int, a int, b int")
-    links = materialize(_linked(windows.withColumn("open", F.lit(True))), "passage-links")
-    found = materialize(_confirmed(src, links, width, percent, enough), "passages")
-    rest = materialize(_unsettled(links, found), "passage-rest")
-    closer = materialize(_linked(_close_keys(src, rest, width, functions)), "passage-links")
-    found = found.unionByName(_confirmed(src, closer, width, percent, enough))
-    best = found.groupBy("doc", "xs", "xe").agg(F.min(F.struct("other", "ys", "ye", "similarity")).alias("y"))
+            ids = [b.column(i).to_numpy() for i in (0, 1)]
+            at, seqs = [], []
+            for i in range(b.num_rows):
+                w = word_hashes(b.column(2)[i].as_py())
+                if len(w) >= least_words:
+                    at.append(i)
+                    seqs.append(w)
+                if seqs and (sum(map(len, seqs)) >= _BLOCK or i == b.num_rows - 1):
+                    texts = Texts(*(x[at] for x in ids), np.concatenate(seqs), np.array([len(x) for x in seqs]))
+                    at, seqs = [], []
+                    starts = texts.starts(width)
+                    for f, key in enumerate(keys):
+                        value, centre, first, last = compact_windows(_permuted(texts.shingles, key), width, starts)
+                        yield _batch(texts, f, value, centre, first, last, words=f == 0)
+
+    parts = materialize(src.mapInArrow(run, f"{_WINDOW}, words array<int>"), "passage-parts")
+    texts = parts.where("words is not null").select("doc", "t", "words")
+    windows = parts.where("words is null").drop("words").withColumn("open", F.lit(True))
+    found: list[DataFrame] = []
+    for level in range(3):
+        shared, links = _linked(windows)
+        found.append(_confirmed(texts, links, width, percent, 1 if level else enough))
+        if level:
+            discard(windows)
+        if level < 2:  # at level 2 only stretches are divided further
+            rest = _unsettled(*(df.where(F.col("k") >= level * _STRETCH) for df in (shared, links)), found)
+            windows = _finer(texts, rest, width, keys, level + 1)
+            discard(rest)
+        discard(shared, links)
+    discard(parts)
+    best = reduce(DataFrame.unionByName, found).groupBy("doc", "t", "xs", "xe").agg(F.min(F.struct("other", "ot", "ys", "ye", "similarity")).alias("y"))
     return best.selectExpr(
         "doc doc_id", "cast(xs as bigint) start_word", f"cast(xe + {SHINGLE - 1} as bigint) end_word", "y.other other_id", "cast(y.ys as bigint) other_start", f"cast(y.ye + {SHINGLE - 1} as bigint) other_end", "y.similarity similarity"
     )
 
 
-def _linked(windows: DataFrame) -> DataFrame:
-    """Each open window with the first of its group, where that is another document's."""
-    order = Window.partitionBy("v", "f").orderBy("doc", "c")
-    first = F.first(F.struct("doc", "c", "a", "b")).over(order).alias("y")
-    return windows.select("*", first).where("open and doc <> y.doc").selectExpr("v", "f", "doc x", "c xc", "a xa", "b xb", "y.doc y", "y.c yc", "y.a ya", "y.b yb").distinct()
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, t, text``; ``t`` is 0 but for ids that have several texts."""
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
+    th = F.xxhash64("text")
+    several = src.select("doc", th.alias("t")).groupBy("doc").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("doc", F.lit(True).alias("many"))
+    several = materialize(several, "passage-ids")
+    if several.isEmpty():
+        return src.select("doc", F.lit(0).cast("long").alias("t"), "text")
+    return src.join(several, "doc", "left").select("doc", F.when(F.col("many"), th).otherwise(F.lit(0)).alias("t"), "text")
+
+
+class Texts:
+    """Some texts' words, one after the other, so that they can be worked on together."""
 
+    def __init__(self, doc: np.ndarray, t: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        self.doc, self.t, self.words = doc, t, words
+        self.ends = np.cumsum(sizes)
+        self.begin = self.ends - sizes
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.shingles = shingles(words.astype(np.uint64), SHINGLE)
 
-def _unsettled(links: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc, spans (a, b, open)``: all windows of the groups with an open one.
+    def starts(self, width: int) -> np.ndarray:
+        """Where the runs of ``width`` shingles begin that lie in one text."""
+        n = max(len(self.words) - width - SHINGLE + 2, 0)
+        return np.flatnonzero(self.of[:n] == self.of[width + SHINGLE - 2 :][:n])
+
+
+def _batch(texts: Texts, kind: int | np.ndarray, value: np.ndarray, centre: np.ndarray, first: np.ndarray, last: np.ndarray, *, words: bool = False, is_open: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of windows, at their places in the texts; then a row for each text with its words' hashes.
+
+    Signatures of different kinds are kept apart by a bijection for each kind.
+    """
+    n, m = len(value), len(texts.doc) if words else 0
+    kind = np.broadcast_to(np.asarray(kind), n)
+    own = (value ^ ((kind + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))).view(np.int64)
+    i = texts.of[centre]
+    cols = [own, texts.doc[i], texts.t[i], kind, *(x - texts.begin[i] for x in (centre, first, last))]
+    tail = [0, texts.doc, texts.t, 0, 0, 0, 0]
+    arrays = [pa.array(np.concatenate([c, np.broadcast_to(x, len(texts.doc))[:m]]).astype(k)) for c, x, k in zip(cols, tail, _TYPES, strict=True)]
+    if is_open is not None:
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(is_open)], names=[*_NAMES, "open"])
+    ends = np.concatenate([np.zeros(n + 1), texts.ends[:m]]).astype(np.int32)
+    flat = texts.words.view(np.int32) if words else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.arange(n + m + 1) < n), pa.array(flat, pa.int32()))
+    return pa.RecordBatch.from_arrays([*arrays, lists], names=[*_NAMES, "words"])
+
+
+def _linked(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows of groups with several texts, and each open one with its group's first.
+
+    First are the least ids of the signatures, aggregated before the shuffle;
+    then only windows of shared signatures are shuffled, in joins that can be
+    split where one signature has very many windows.
+    """
+    ends = windows.groupBy("v").agg(F.min("doc").alias("doc"), F.max("doc").alias("_hi"), F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    keys = materialize(ends.where("doc <> _hi or _t0 <> _t1").select("v", F.col("doc").alias("lo")), "passage-keys")
+    rows, spent = among(windows, keys, "v")
+    shared = materialize(rows, "passage-shared")
+    first = shared.join(keys.withColumnRenamed("lo", "doc"), ["v", "doc"], "left_semi").groupBy("v").agg(F.min(F.struct("doc", "t", "c", "a", "b")).alias("y"))
+    links = shared.where("open").join(first, "v").where("doc <> y.doc or t <> y.t").selectExpr("v", "k", "doc x", "t xt", "c xc", "a xa", "b xb", "y.doc y", "y.t yt", "y.c yc", "y.a ya", "y.b yb").distinct()
+    links = materialize(links, "passage-links")
+    discard(keys, *spent)
+    return shared, links
+
+
+def _unsettled(shared: DataFrame, links: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``doc, t, spans (c, a, b, k, open)``: all windows of the groups with an open one.
 
     Open are windows whose minimum lies in no confirmed passage of their document.
     """
-    held = found.groupBy("doc").agg(F.collect_list(F.struct("xs", "xe")).alias("_held"))
-    centre = F.exists("_held", lambda h: (h["xs"] <= F.col("xc")) & (F.col("xc") < h["xe"]))
-    left = materialize(links.join(held.withColumnRenamed("doc", "x"), "x", "left").where(~F.coalesce(centre, F.lit(False))).select("v", "f", "x", "xa", "xb"), "passage-open")
-    groups = left.select("v", "f").distinct()
-    others = Bloom.of(groups, "v", "f").maybe(links, "v", "f").join(groups, ["v", "f"], "left_semi")
-    windows = (
-        left.selectExpr("x doc", "xa a", "xb b", "true open")
-        .unionByName(others.selectExpr("x doc", "xa a", "xb b", "false open"))
-        .unionByName(others.selectExpr("y doc", "ya a", "yb b", "false open"))
-    )
-    return windows.distinct().groupBy("doc").agg(F.collect_list(F.struct("a", "b", "open")).alias("spans"))
+    held = reduce(DataFrame.unionByName, found).groupBy(F.col("doc").alias("x"), F.col("t").alias("xt")).agg(F.collect_set(F.struct("xs", "xe")).alias("_held"))
+    inside = F.exists("_held", lambda h: (h["xs"] <= F.col("xc")) & (F.col("xc") < h["xe"]))
+    left = links.join(held, ["x", "xt"], "left").where(~F.coalesce(inside, F.lit(False))).selectExpr("v", "x doc", "xt t", "xc c", "xa a", "xb b", "k", "true open")
+    left = materialize(left, "passage-open")
+    groups = materialize(left.select("v").distinct(), "passage-groups")
+    others, spent = among(shared, groups, "v")
+    windows = left.drop("v").unionByName(others.selectExpr("doc", "t", "c", "a", "b", "k", "false open"))
+    spans = windows.groupBy("doc", "t", "c", "a", "b", "k").agg(F.max("open").alias("open")).groupBy("doc", "t").agg(F.collect_list(F.struct("c", "a", "b", "k", "open")).alias("spans"))
+    rest = materialize(spans, "passage-rest")
+    discard(left, groups, *spent)
+    return rest
 
 
-def _close_keys(src: DataFrame, rest: DataFrame, width: int, functions: int) -> DataFrame:
-    """Shingles of the open windows and runs of all windows, in the form of windows."""
-    reach = width + 2 * SHINGLE
-    names = ["v", "f", "doc", "c", "a", "b", "open"]
-    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int32, bool)
+def _inside(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    edges = np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0
+
+
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
-    def inside(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        edges = np.zeros(n + 1, np.int64)
-        np.add.at(edges, np.minimum(first, n), 1)
-        np.add.at(edges, np.minimum(np.maximum(end, first), n), -1)
-        return np.cumsum(edges[:-1]) > 0
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Runs:
+    """Hashes of any stretches of a sequence, from sums of its items' multiples."""
+
+    def __init__(self, s: np.ndarray) -> None:
+        n = len(s)
+        self.sums = np.r_[np.uint64(0), np.cumsum((s ^ (s >> np.uint64(31))) * _powers(_BASE, n), dtype=np.uint64)]
+        self.back = _powers(_INVERSE, n + 1)
+
+    def hash(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end] - self.sums[first]) * self.back[first]
+        x ^= x >> np.uint64(32)
+        return x * np.uint64(0xD6E8FEB86659FD93)
+
+
+def halves(s: np.ndarray, width: int, starts: np.ndarray, key: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, place of the first half's minimum, first, last) of the runs that begin at ``starts``.
+
+    Neighbouring runs with equal minima in both halves are one window.
+    """
+    if not len(starts):
+        return compact_windows(s, width, starts)
+    x, h = _permuted(s, key), width // 2
+    sign = _run_minima(x, h)[starts] * np.uint64(0x9E3779B97F4A7C15) ^ (_run_minima(x, width - h)[starts + h] >> np.uint64(1))
+    first, last = _runs(starts, sign)
+    return sign[first], _place(x, starts[first], h), starts[first], starts[last] + width - 1
+
+
+def stretches(width: int) -> list[tuple[int, int]]:
+    """(shingles before, after) a minimum: of any run of ``width`` around it, at least one stretch is a part."""
+    step = -(-width // STRETCHES)
+    return [(max(width - step - r, 0), r) for r in range(0, width, step)]
+
+
+def _finer(texts: DataFrame, rest: DataFrame, width: int, keys: list[np.uint64], level: int) -> DataFrame:
+    """The windows of ``rest`` by the signatures of ``level``, open or not."""
+    reach = width + 2 * SHINGLE
+    around = stretches(width)
+    if level == 1:
+        kinds = [(0, _STRETCH + j, before, after) for j, (before, after) in enumerate(around)]
+    else:
+        kinds = [(_STRETCH + j, _PASSAGE + j * width + e, before + e, width - 1 - before - e) for j, (before, after) in enumerate(around) for e in range(width - before - after)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in names]
-            for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = shingles(word_hashes(text), SHINGLE)
-                n = len(s)
-                if n < width:
-                    continue
-                at = np.array([(x["a"], x["b"] + 1, x["open"]) for x in spans], np.int64)
-                mine = at[at[:, 2] == 1]
-                single = np.flatnonzero(inside(n, mine[:, 0], mine[:, 1]))
-                starts = n - width + 1
-                runs = np.flatnonzero(inside(starts, at[:, 0], at[:, 1] - width + 1))
-                unsettled = inside(starts, mine[:, 0], mine[:, 1] - width + 1)[runs]
-                for f, v, c, lo, hi, is_open in (
-                    (functions, s[single], single, np.maximum(single - reach, 0), np.minimum(single + reach, n - 1), np.ones(len(single), bool)),
-                    (functions + 1, shingles(s, width)[runs], runs + width // 2, runs, runs + width - 1, unsettled),
-                ):
-                    for to, x in zip(cols, (v.view(np.int64), np.full(len(v), f), np.full(len(v), doc), c, lo, hi, is_open), strict=True):
-                        to.append(x)
-            flat = [np.concatenate(c) if c else np.zeros(0) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(flat, kinds, strict=True)], names=names)
-
-    ids = rest.select(F.col("doc").alias("doc_id"))
-    near = Bloom.of(ids, "doc_id").maybe(src, "doc_id")
-    return near.join(rest, near["doc_id"] == rest["doc"]).select("doc_id", "_text", "spans").mapInArrow(run, "v bigint, f int, doc bigint, c int, a int, b int, open boolean")
-
-
-def _confirmed(src: DataFrame, links: DataFrame, width: int, percent: int, enough: int) -> DataFrame:
-    """``doc, xs, xe, other, ys, ye, similarity`` in shingle positions."""
-    spark = src.sparkSession
+        for b in sliced(batches, 512):
+            sizes = b.column(2).value_lengths().to_numpy()
+            texts = Texts(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().view(np.uint32), sizes)
+            n = len(texts.shingles)
+            spans = b.column(3).flatten()
+            c, lo, hi, kind, is_open = (spans.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            i = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            c, lo, hi = (x + texts.begin[i] for x in (c, lo, hi))
+            hi = np.minimum(hi, texts.ends[i] - SHINGLE)
+            if level == 1:
+                mine = _inside(n, lo[is_open], hi[is_open] - width + 2)
+                covered = np.flatnonzero(_inside(n, lo, hi - width + 2))
+                for f, key in enumerate(keys):
+                    value, centre, first, last = halves(texts.shingles, width, covered, key)
+                    yield _batch(texts, f, value, centre, first, last, is_open=mine[first] | mine[last - width + 1])
+            hashes = Runs(texts.shingles)
+            for of, to, before, after in kinds:
+                at = np.flatnonzero((kind == of) & (c - before >= lo) & (c + after <= hi))
+                x, own = c[at], i[at]
+                first, last = np.maximum(x - reach, texts.begin[own]), np.minimum(x + reach, texts.ends[own] - SHINGLE)
+                yield _batch(texts, to, hashes.hash(x - before, x + after + 1), x, first, last, is_open=is_open[at])
+
+    near, spent = among(texts, rest, "doc", "t")
+    out = materialize(near.join(rest, ["doc", "t"]).select("doc", "t", "words", "spans").mapInArrow(run, f"{_WINDOW}, open boolean"), "passage-windows")
+    discard(*spent)
+    return out
+
+
+def _confirmed(texts: DataFrame, links: DataFrame, width: int, percent: int, enough: int) -> DataFrame:
+    """``doc, t, xs, xe, other, ot, ys, ye, similarity`` in shingle positions, written."""
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for x, y, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows += [(x, y, *c) for c in candidates([tuple(h.values()) for h in hits], enough)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["x", "y", "xs", "xe", "ys", "ye"])
-
-    hits = links.groupBy("x", "y").agg(F.collect_list(F.struct("f", "xc", "xa", "xb", "yc", "ya", "yb")).alias("hits"))
-    pairs = materialize(hits.mapInArrow(intervals, "x bigint, y bigint, xs int, xe int, ys int, ye int").withColumn("pair", F.monotonically_increasing_id()), "passage-pairs")
-    sides = pairs.selectExpr("pair", "0 side", "x doc", "xs s", "xe e").unionByName(pairs.selectExpr("pair", "1 side", "y doc", "ys s", "ye e"))
-    bloom = spark.sparkContext.broadcast(Bloom.of(sides.select("doc").distinct(), "doc"))
-    h1, h2 = Bloom.hashes(F.col("doc_id"))
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = pa.array(bloom.value.keep(b.column(0).to_numpy(), b.column(1).to_numpy()))
-            texts = b.column(3).filter(keep).to_pylist()
-            seqs = [shingles(word_hashes(t), SHINGLE) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int32)
-            flat = np.concatenate(seqs).view(np.int64) if seqs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(2).filter(keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["doc", "items"])
-
-    seqs = src.select(h1.alias("_h1"), h2.alias("_h2"), "doc_id", "_text").mapInArrow(sequences, "doc bigint, items array<bigint>").join(sides.select("doc").distinct(), "doc", "left_semi")
-    cut = sides.join(seqs, "doc").select("pair", "side", "doc", "s", F.slice("items", F.col("s") + 1, F.col("e") - F.col("s") + 1).alias("items"))
-    two = cut.where("side = 0").selectExpr("pair", "doc", "s xs", "items xi").join(cut.where("side = 1").selectExpr("pair", "doc other", "s ys", "items yi"), "pair").select("doc", "xs", "xi", "other", "ys", "yi")
+            for x, xt, y, yt, hits in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                rows += [(x, xt, y, yt, *c) for c in candidates([tuple(h.values()) for h in hits], enough)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["x", "xt", "y", "yt", "xs", "xe", "ys", "ye"])
+
+    hits = links.groupBy("x", "xt", "y", "yt").agg(F.collect_list(F.struct("k", "xc", "xa", "xb", "yc", "ya", "yb")).alias("hits"))
+    pairs = materialize(hits.mapInArrow(intervals, "x bigint, xt bigint, y bigint, yt bigint, xs int, xe int, ys int, ye int").withColumn("pair", F.monotonically_increasing_id()), "passage-pairs")
+    sides = pairs.select("pair", F.explode(F.array(*(F.struct(F.lit(k == "y").alias("other"), F.col(k).alias("doc"), F.col(f"{k}t").alias("t"), F.col(f"{k}s").alias("s"), F.col(f"{k}e").alias("e")) for k in "xy"))).alias("_")).select("pair", "_.*")
+    wanted = materialize(sides.select("doc", "t").distinct(), "passage-docs")
+    near, spent = among(texts, wanted, "doc", "t")
+    words = F.slice("words", F.col("s") + 1, F.col("e") - F.col("s") + SHINGLE)
+    cut = sides.join(near, ["doc", "t"]).select("pair", "other", "doc", "t", "s", words.alias("words"))
+    one = lambda other: F.first(F.when(F.col("other") == other, F.struct("doc", "t", "s", "words")), ignorenulls=True)
+    two = cut.groupBy("pair").agg(one(False).alias("x"), one(True).alias("y")).selectExpr("x.doc", "x.t", "x.s xs", "x.words xw", "y.doc other", "y.t ot", "y.s ys", "y.words yw")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            data = [b.column(i).to_pylist() for i in (0, 1, 3, 4)]
-            for i, (doc, xs, other, ys) in enumerate(zip(*data, strict=True)):
-                a, c = (np.asarray(b.column(k)[i].values).view(np.uint64) for k in (2, 5))
-                if len(a) and len(c):
-                    rows += [(doc, xs + s, xs + e, other, ys + lo, ys + hi, sim) for s, e, lo, hi, sim in verify(a, c, width, percent)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "xs", "xe", "other", "ys", "ye", "similarity"])
-
-    return two.mapInArrow(check, "doc bigint, xs int, xe int, other bigint, ys int, ye int, similarity double")
+            for i, (doc, t, xs, other, ot, ys) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4, 5, 6)), strict=True)):
+                x, y = (shingles(np.asarray(b.column(j)[i].values).view(np.uint32).astype(np.uint64), SHINGLE) for j in (3, 7))
+                if len(x) and len(y):
+                    rows += [(doc, t, xs + s, xs + e, other, ot, ys + lo, ys + hi, sim) for s, e, lo, hi, sim in verify(x, y, width, percent)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "t", "xs", "xe", "other", "ot", "ys", "ye", "similarity"])
+
+    found = materialize(two.mapInArrow(check, "doc bigint, t bigint, xs int, xe int, other bigint, ot bigint, ys int, ye int, similarity double"), "passages")
+    discard(pairs, wanted, *spent)
+    return found
