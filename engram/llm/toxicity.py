@@ -1,19 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-the stretches of toxic text whose byte 6-grams occur in far more toxic than
-ordinary documents. A window is compressed with the ordinary dictionary and
-with both together; what the toxic one saves is the window's distance. A
-document's windows, all of them, are summed up by the largest and mean saving
-and by how many windows pass the thresholds; a logistic calibration on labelled
-rows that trained no dictionary turns these into a score.
-
-The fit is on a bounded sample (``Bounds``) of the labelled rows. Scoring is one
-pass over the text without a shuffle; the broadcast model is some 100 KB.
+Two zstandard dictionaries are trained, each on text of its own: one on windows
+of ordinary text, one on stretches of toxic text. A window is compressed with
+the ordinary dictionary and with the toxic one beside it; what the toxic one
+saves is the window's distance. Toxic documents are ordinary prose for the most
+part, and a dictionary of their whole windows would hold that prose: the
+stretches it is trained on are those whose byte 6-grams occur in far more toxic
+than ordinary documents.
+
+All windows of a document are compared with thresholds that are calibrated on
+labelled rows that trained no dictionary: savings that only given shares of
+ordinary windows pass. How many and which part of its windows pass each
+threshold, and the largest and mean saving, are weighed by a logistic
+calibration on the same rows.
+
+The fit is one task's work on a bounded sample (``Bounds``) of the labelled
+rows; the driver gets the model alone, some 100 KB, and broadcasts it. Scoring
+is one pass over the text without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,17 +35,22 @@ from engram.llm.common import sliced, text_or_empty
 
 WINDOW, STRIDE = 64, 32  # bytes
 LEVEL = 3
-SAVINGS = (3, 5)  # bytes; window thresholds
+PASSING = (0.02, 0.01, 0.005, 0.001, 0.0001)  # shares of ordinary windows above each threshold
 GRAM, BITS = 6, 20
 _BLOCK = 1 << 22
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What a fit may read: rows of each label, each of them whole, and the sizes of the dictionaries."""
+    """What a fit may read, and the sizes of the dictionaries.
+
+    Rows of each label are drawn by a hash of their ids up to the rows' and the
+    bytes' bound; each is read whole, and one that does not fit is left out whole.
+    """
 
     toxic_rows: int = 3000
     ordinary_rows: int = 6000
+    sample_bytes: int = 1 << 26
     ordinary_bytes: int = 65_536
     toxic_bytes: int = 2048
     ordinary_windows: int = 80_000
@@ -102,6 +115,7 @@ class Model:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    thresholds: tuple[float, ...] = ()
     _pair: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -134,20 +148,9 @@ class Model:
         def flush() -> None:
             d, at = self.savings(blobs)
             n = np.diff(np.append(at, len(d)))
-            over = [np.add.reduceat((d > s).astype(np.float64), at) for s in SAVINGS]
-            rows.append(
-                np.stack(
-                    [
-                        np.maximum.reduceat(d, at),
-                        np.add.reduceat(d, at) / n,
-                        *(np.log1p(o) for o in over),
-                        over[0] / n,
-                        np.log(np.add.reduceat(np.exp(0.5 * np.clip(d, -40, 40)), at) / n),
-                        np.log(n),
-                    ],
-                    1,
-                )
-            )
+            over = [np.add.reduceat((d > t).astype(np.float64), at) for t in self.thresholds]
+            typical = np.log(np.add.reduceat(np.exp(0.5 * np.clip(d, -40, 40)), at) / n)
+            rows.append(np.stack([np.maximum.reduceat(d, at), typical, np.add.reduceat(d, at) / n, *(np.log1p(o) for o in over), *(o / n for o in over)], 1))
             blobs.clear()
 
         for t in texts:
@@ -158,15 +161,16 @@ class Model:
                 size = 0
         if blobs:
             flush()
-        return np.concatenate(rows) if rows else np.zeros((0, 7))
+        return np.concatenate(rows) if rows else np.zeros((0, 3 + 2 * len(self.thresholds)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = self.features(texts)
-        z = self.weights[0] + (((x - self.mean) / self.scale) @ self.weights[1:] if len(self.weights) > 1 else np.zeros(len(x)))
+        if len(self.weights) == 1:
+            return np.full(len(texts), 1 / (1 + np.exp(-self.weights[0])))
+        z = self.weights[0] + ((self.features(texts) - self.mean) / self.scale) @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.001) -> np.ndarray:
     """Weighted logistic regression by Newton steps."""
     z = np.c_[np.ones(len(x)), x]
     beta = np.zeros(z.shape[1])
@@ -192,7 +196,7 @@ def fit(toxic: list[str], ordinary: list[str], *, ordinary_weight: float = 1.0,
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         share = float(np.clip(len(toxic) / max(len(toxic) + len(ordinary), 1), 0.01, 0.99))
-        return Model(mean=np.zeros(7), scale=np.ones(7), weights=np.array([np.log(share / (1 - share)), *[0.0] * 7]))
+        return Model(weights=np.array([np.log(share / (1 - share))]))
     parts = [([t for i, t in enumerate(x) if i % 3 or len(x) < 6], x[::3]) for x in (toxic, ordinary)]
     (tox, tox_held), (plain, plain_held) = parts
     tox_b, plain_b = ([t.encode("utf-8", "replace") for t in x] for x in (tox, plain))
@@ -205,8 +209,8 @@ def fit(toxic: list[str], ordinary: list[str], *, ordinary_weight: float = 1.0,
     share_t, share_p = seen[0] / len(tox_b), seen[1] / len(plain_b)
     pooled = (seen[0] + seen[1] + 1) / (len(tox_b) + len(plain_b) + 2)
     z = (share_t - share_p) / np.sqrt(pooled * (1 - pooled) * (1 / len(tox_b) + 1 / len(plain_b)))
-    often = share_t > 8 * (share_p + 1 / len(plain_b))
-    telling = (z > 6) & often
+    often = share_t > 2.5 * (share_p + 1 / len(plain_b))
+    telling = (z > 5) & often
     if telling.sum() < 20:  # few rows: the best there are
         telling = (z > 2.5) & often
     rng = np.random.default_rng(0)
@@ -214,6 +218,8 @@ def fit(toxic: list[str], ordinary: list[str], *, ordinary_weight: float = 1.0,
     rng.shuffle(samples)
     windows = _drawn_windows(plain_b, bounds.ordinary_windows, rng)
     model = Model(ordinary=_train(bounds.ordinary_bytes, windows) or b" " * 8, toxic=_train(bounds.toxic_bytes, samples) if samples else b"")
+    usual = np.concatenate([model.savings([t.encode("utf-8", "replace")])[0] for t in plain_held])
+    model.thresholds = tuple(sorted({max(float(np.quantile(usual, 1 - p)), 0.0) for p in PASSING}))
     x = np.concatenate([model.features(tox_held), model.features(plain_held)])
     y = np.r_[np.ones(len(tox_held)), np.zeros(len(plain_held))]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
@@ -224,31 +230,39 @@ def fit(toxic: list[str], ordinary: list[str], *, ordinary_weight: float = 1.0,
 def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> Model:  # noqa: B008
     """Fit on a sample of labelled rows, drawn by a hash of the id; held-out rows take no part.
 
-    Held out is an id whose text has a CRC-32 divisible by five. Rows labelled
+    Held out is an id whose text has a CRC-32 divisible by five. Ids labelled
     twice count as toxic if one label says so; null labels and ids are left out.
+    Of rows with one id each different text takes part once; equal texts of any
+    ids count once. Without labelled rows the score is constant.
     """
     known = (
-        labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+        labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+        .where("_toxic is not null and _id is not null")
+        .groupBy("_id")
+        .agg(F.max("_toxic").alias("_toxic"))
         .where(~held_out("_id"))
     )
     totals = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.col("_id").cast("string"))
     drawn = [known.where(F.col("_toxic") == k).orderBy(order, "_id").limit(n) for k, n in ((1, bounds.toxic_rows), (0, bounds.ordinary_rows))]
     picked = drawn[0].unionByName(drawn[1])  # at most toxic_rows + ordinary_rows ids
-    rows = (
-        docs.join(F.broadcast(picked), docs[id_col] == picked["_id"])
-        .select("_id", "_toxic", text_or_empty(text_col).alias("_text"))
-        .dropDuplicates(["_id"])
-        .orderBy(order, "_id")
-    )
-    toxic, plain = [], []
-    for r in rows.toLocalIterator():
-        (toxic if r["_toxic"] == 1 else plain).append(r["_text"])
-    per_toxic = totals.get(1, 0) / max(len(toxic), 1)
-    per_plain = totals.get(0, 0) / max(len(plain), 1)
-    return fit(toxic, plain, ordinary_weight=per_plain / per_toxic if per_toxic and per_plain else 1.0, bounds=bounds)
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(picked), "_id").select("_id", "_toxic", "_text").dropDuplicates(["_id", "_text"]).repartition(1).sortWithinPartitions(order, "_id", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[str]] = {1: [], 0: []}
+        most, left = {1: bounds.toxic_rows, 0: bounds.ordinary_rows}, bounds.sample_bytes
+        for b in sliced(batches, 64):
+            for k, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if len(found[k]) < most[k] and len(text) <= left:
+                    found[k].append(text)
+                    left -= len(text)
+        per = [totals.get(k, 0) / max(len(found[k]), 1) for k in (1, 0)]
+        model = fit(found[1], found[0], ordinary_weight=per[1] / per[0] if all(per) else 1.0, bounds=bounds)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    made = rows.select("_id", "_toxic", "_text").mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [], bounds=bounds)
 
 
 def held_out(id_col: str) -> F.Column:
@@ -275,7 +289,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    """The rows of ``docs`` that score under 0.5, with all their columns, whatever their names.
+
+    A null text scores as an empty one; repeated rows are each judged alike.
+    """
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
