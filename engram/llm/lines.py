@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import Bloom, discard, fresh, materialize, text_or_empty
+from engram.llm.common import among, discard, fresh, materialize, text_or_empty
 
 FIRST_BLOCKS, BLOCKS = 2, 16
 
@@ -53,7 +53,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     and hardly any row is shuffled a second time.
     """
     keys = materialize(rows.groupBy(*_KEY).agg(F.min("lid").alias("_lo"), F.max("lid").alias("_hi")).where("_lo <> _hi").select(*_KEY), "line-variants")
-    return Bloom.of(keys, *_KEY).maybe(rows, *_KEY).join(keys, _KEY, "left_semi")
+    return among(rows, keys, *_KEY)[0]
 
 
 def _first_division(lines: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def near_copies(lines: DataFrame, *, min_chars: int) -> DataFrame:
     long = lines.select(F.xxhash64("line").alias("lid"), "pos", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
     found = materialize(_shared(_first_division(long)), "line-suspects")
     lids = found.select("lid").distinct()
-    texts = materialize(Bloom.of(lids, "lid").maybe(long, "lid").join(lids, "lid", "left_semi"), "line-texts")
+    texts = materialize(among(long, lids, "lid")[0], "line-texts")
     done = []
     while True:
         done.append(found.where(F.col("end") - F.col("begin") == 1))
@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 16, near: bool = True, id_c
     """
     count_col = fresh(count_col, docs.columns)
     taken = [*docs.columns, count_col]
-    doc, th, kept, blanks = (fresh(c, taken) for c in ("_doc", "_th", "_kept", "_blanks"))
+    doc, th, kept, blanks, of, at = (fresh(c, taken) for c in ("_doc", "_th", "_kept", "_blanks", "_of", "_at"))
     text = text_or_empty(text_col)
     keyed = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(th, F.xxhash64(text))
     blank = lambda line: line.rlike(r"^[\s\p{Cntrl}]*$")
@@ -114,12 +114,12 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 16, near: bool = True, id_c
         stay = stay.join(near_copies(distinct, min_chars=min_chars), "pos", "left_anti")
     stay = materialize(stay, "line-stay")
     discard(distinct)
-    by_row = stay.groupBy(F.col("pos.doc").alias("_d"), F.col("pos.th").alias("_t")).agg(F.collect_list("pos.no").alias(kept))
+    by_row = stay.groupBy(F.col("pos.doc").alias(of), F.col("pos.th").alias(at)).agg(F.collect_list("pos.no").alias(kept))
     # The lines themselves pass through the join in the text's place, so that they are split once.
     split = F.split(F.col(text_col), "\n")
     numbered = F.transform(split, lambda line, i: F.when(blank(line), i))
     rows = keyed.withColumn(blanks, F.filter(numbered, lambda i: i.isNotNull())).withColumn(text_col, split)
-    joined = rows.join(by_row, F.col(doc).eqNullSafe(F.col("_d")) & (F.col(th) == F.col("_t")), "left")
+    joined = rows.join(by_row, F.col(doc).eqNullSafe(F.col(of)) & (F.col(th) == F.col(at)), "left")
     none = F.array().cast("array<int>")
     staying = F.array_sort(F.array_union(F.coalesce(F.col(kept), none), F.col(blanks)))
     return (

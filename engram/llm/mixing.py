@@ -4,7 +4,8 @@ Each source gets a mean repetition rate ``target share * budget / source size``.
 A document's count is the inverse of the Poisson distribution with that mean at
 a uniform number derived from a keyed hash of its id, so that it depends on the
 seed alone: no state, no sampling order, the same again when a task is rerun.
-Copies are exploded and dealt to all partitions by a second keyed hash.
+Copies are exploded and dealt to all partitions by a second keyed hash, of the
+text as well, so that rows without an id are dealt out like all others.
 
 Only the per-source totals are aggregated (partial sums before the shuffle, so
 a source with a third of all rows costs no more than another), and only they
@@ -66,11 +67,12 @@ def mix_sources(
     Nulls: a null source is a source of its own, a null text has length 0, a null
     id hashes like the empty id. A source whose texts are all empty has rate
     ``epochs``. Repeated rows have the same id and so the same count each. An
-    empty table gives an empty table. A clashing ``copy_col`` is lengthened by
-    underscores until it is free.
+    empty table gives an empty table. Columns may have any names; a clashing
+    ``copy_col`` is lengthened by underscores until it is free.
     """
     spark = docs.sparkSession
     copy_col = fresh(copy_col, docs.columns)
+    of, parts, cdf, n = (fresh(c, [*docs.columns, copy_col]) for c in ("_s", "_parts", "_cdf", "_n"))
     size = F.coalesce(F.length(text_or_empty(text_col)).cast("long"), F.lit(0))
     source = F.col(source_col).cast("string")
     stats = docs.groupBy(source.alias("_s")).agg(F.sum(size).alias("_size"))
@@ -89,24 +91,23 @@ def mix_sources(
     stats = (
         stats.withColumn("_rate", rate)
         .withColumn("_parts", F.greatest(F.ceil(F.col("_rate") / _STEP), F.lit(1)).cast("int"))
-        .select("_s", "_parts", cdf_table(F.col("_rate") / F.col("_parts")).alias("_cdf"))
+        .select(F.col("_s").alias(of), F.col("_parts").alias(parts), cdf_table(F.col("_rate") / F.col("_parts")).alias(cdf))
     )
     if whole["sources"] <= max_broadcast_sources:
         stats = F.broadcast(stats)
-    key = F.coalesce(F.col(f"d.{id_col}").cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
     def draws(part: Column) -> Column:
         u = uniform(F.concat(key, F.lit("/"), part.cast("string")), seed)
-        return F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
+        return F.size(F.filter(F.col(cdf), lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, part: acc + draws(part))
+    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, part: acc + draws(part))
     out = (
-        docs.alias("d")
-        .join(stats, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("_s")))
-        .withColumn("_n", count)
-        .where("_n > 0")
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias(copy_col))
+        docs.join(stats, F.col(source_col).cast("string").eqNullSafe(F.col(of)))
+        .withColumn(n, count)
+        .where(F.col(n) > 0)
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy_col))
     )
     place = fresh("_place", out.columns)
-    out = out.withColumn(place, F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.col(copy_col).cast("string")).cast("binary")))
+    out = out.withColumn(place, F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.col(copy_col).cast("string"), F.lit("/"), F.xxhash64(text_or_empty(text_col)).cast("string")).cast("binary")))
     return out.repartition(parallelism(spark), place).sortWithinPartitions(place).drop(place)
