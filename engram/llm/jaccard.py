@@ -26,15 +26,16 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import among, components, discard, materialize, parallelism, sliced, text_or_empty
+from engram.llm.common import among, components, discard, fresh, materialize, parallelism, sliced, text_or_empty
 
 WORD_BITS, SHINGLE_BITS, CHUNK = 18, 20, 1 << 14
 MOST_MATCHES = 8
@@ -118,10 +119,12 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, *, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.spark = docs.sparkSession
-        self.src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
+        text = text_or_empty(text_col)
+        self.src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("th"))
         self.size, self.percent = size, percent
         self.step = log(100 / percent) * 1.0001
         self.sets: DataFrame | None = None
+        self.made: list[DataFrame] = []
 
     # -------------------------------------------------------------- passes over the text
 
@@ -129,7 +132,7 @@ class JaccardJoin:
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "sid", "n", "chunk", "cells"]
+            names = ["doc_id", "th", "sid", "n", "chunk", "cells"]
             words, own = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)
             for b in sliced(batches):
                 sids, sizes = [], []
@@ -141,14 +144,14 @@ class JaccardJoin:
                     np.add.at(words, (w >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
                     own[(s >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)] += 1
                 k = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
             cells = np.concatenate([words, own]).astype("<i8").reshape(-1, CHUNK)
             used = np.flatnonzero(cells.any(1))
             k = len(used)
             packed = [zlib.compress(cells[i].tobytes(), 1) for i in used]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-        found = materialize(self.src.mapInArrow(run, "doc_id bigint, sid bigint, n bigint, chunk int, cells binary"), "jaccard-profiles")
+        found = materialize(self.src.mapInArrow(run, "doc_id bigint, th bigint, sid bigint, n bigint, chunk int, cells binary"), "jaccard-profiles")
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, total = None, None
@@ -168,7 +171,7 @@ class JaccardJoin:
         cells = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
         for r in parts.mapInArrow(add, "chunk int, cells binary").collect():  # the sketch: a fixed size
             cells[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], "<i8")
-        return found.where("chunk is null").select("doc_id", "sid", "n"), Sketch(cells)
+        return found.where("chunk is null").select("doc_id", "th", "sid", "n"), Sketch(cells)
 
     def _postings(self, sketch: Sketch) -> DataFrame:
         size, percent, step = self.size, self.percent, self.step
@@ -198,12 +201,15 @@ class JaccardJoin:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(f.astype(k.to_pandas_dtype()), k) for f, k in zip(flat, kinds, strict=True)], names=["token", "band", "sid", "n", "m", "at", "usual"])
 
-        found = self.src.mapInArrow(run, "token bigint, band int, sid bigint, n int, m int, at int, usual int")
-        whole = Window.partitionBy("token")
-        return materialize(
-            found.select("*", F.min("sid").over(whole).alias("_lo"), F.max("sid").over(whole).alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi").dropDuplicates(["token", "sid"]),
-            "jaccard-postings",
-        )
+        found = materialize(self.src.select("doc_id", "_text").mapInArrow(run, "token bigint, band int, sid bigint, n int, m int, at int, usual int"), "jaccard-prefixes")
+        shared.destroy()
+        # Two numbers a token are aggregated before the shuffle; no token's postings are gathered.
+        met = found.groupBy("token").agg(F.min("sid").alias("_lo"), F.max("sid").alias("_hi")).where("_lo <> _hi").select("token")
+        met = materialize(met, "jaccard-tokens")
+        rows, spent = among(found, met, "token")
+        postings = materialize(rows.groupBy("token", "sid").agg(*(F.max(c).alias(c) for c in ("band", "n", "m", "at", "usual"))), "jaccard-postings")
+        discard(found, met, *spent)
+        return postings
 
     def _add_sets(self, sids: DataFrame, node: DataFrame) -> None:
         """Have ``sid, items`` of the given sets in ``self.sets``, each from one document."""
@@ -212,7 +218,9 @@ class JaccardJoin:
         sids = materialize(sids, "jaccard-sids")
         if not sids.isEmpty():
             more = self._made(sids, node)
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
+            self.made.append(more)
+            self.sets = reduce(DataFrame.unionByName, self.made)
+        discard(sids)
 
     def _made(self, sids: DataFrame, node: DataFrame) -> DataFrame:
         size = self.size
@@ -306,13 +314,12 @@ class JaccardJoin:
             and {most} >= {self._overlap("l.n", "r.n")}"""
         return rows.alias("l").join(other.alias("r"), F.expr(on)).selectExpr("l.sid x", "r.sid y", "least(l.m, r.m) need")
 
-    def classes(self) -> DataFrame:
-        """``doc_id, n_shingles, component_id``, one row per input row."""
+    def labelled(self) -> DataFrame:
+        """``doc_id, th, n, label``, one row per input row: ``label`` is the class, ``th`` a hash of the text."""
         profiles, sketch = self._profiles()
         node = materialize(profiles.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
         postings = self._postings(sketch)
-
-        links = united = None
+        united: DataFrame | None = None
         rounds, last = 0, False
         while not (unsettled := self._unsettled(postings, united)).isEmpty():
             new = self._verified(self._matched(self._all(unsettled) if last else self._star(unsettled, rounds)), node)
@@ -320,20 +327,27 @@ class JaccardJoin:
                 discard(unsettled)
             more = not new.isEmpty()
             if more:
-                links = new if links is None else links.unionByName(new)
-                united = materialize(components(links), "jaccard-united")
+                # Of the links so far their classes are enough.
+                known = new if united is None else new.unionByName(united.select(F.col("id").alias("x"), F.col("label").alias("y")))
+                wider = components(known)
+                discard(new, *([united] if united is not None else []))
+                united = wider
             if last:
                 break
             rounds += 1
             last = rounds == STAR_ROUNDS or not more
+        discard(postings, node, *self.made)
+        linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        if united is None:
+            return profiles.withColumn("label", F.when(linked, F.col("sid")))
+        to = united.select(F.col("id").alias("_sid"), "label")
+        return profiles.join(to, (F.col("sid") == F.col("_sid")) & linked, "left").select("doc_id", "th", "n", F.when(linked, F.coalesce("label", "sid")).alias("label"))
 
-        named = self._labelled(node, united)
-        named = materialize(named, "jaccard-named")
-        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        to = named.join(least, "label").select("sid", "component_id")
-        return profiles.join(to.withColumnRenamed("sid", "_sid"), (F.col("sid") == F.col("_sid")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-        )
+    def classes(self) -> DataFrame:
+        """``doc_id, n_shingles, component_id``, one row per input row."""
+        rows = materialize(self.labelled(), "jaccard-labelled")
+        least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
+        return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,13 +363,23 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
 
 
 def keep_one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of smallest id of each class, and one row of those that repeat its id.
+    """``docs`` with one document of each class: of smallest id, and of several texts with that id the one of least hash.
 
-    Rows without an id are in no class and stay.
+    Of rows with the same id and text one stays; rows of one id with texts of
+    different classes are judged apart. Documents without words are a class each
+    and rows without an id in none; they stay. Columns may have any names.
     """
-    kept = jaccard_classes(docs, size=size, percent=percent, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = materialize(JaccardJoin(docs, size=size, percent=percent, id_col=id_col, text_col=text_col).labelled().where("doc_id is not null"), "jaccard-labelled")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("y")).select("y.doc_id", "y.th")
+    kept = materialize(first.unionByName(rows.where("label is null").select("doc_id", "th").distinct()), "jaccard-kept")
+    doc, th, to, of = (fresh(c, docs.columns) for c in ("_doc", "_th", "_to", "_of"))
+    keyed = docs.withColumns({doc: F.col(id_col).cast("long"), th: F.xxhash64(text_or_empty(text_col))})
+    named = kept.select(F.col("doc_id").alias(to), F.col("th").alias(of))
+    one = keyed.join(named, (F.col(doc) == F.col(to)) & (F.col(th) == F.col(of)), "left_semi")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        one = one.dropDuplicates([doc, th])
+    discard(rows)
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def brute_force(texts: dict[int, str | None], size: int, percent: int) -> dict[int, tuple[int, int]]:
