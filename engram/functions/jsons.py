@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -25,18 +26,24 @@ def parse(text: str) -> Any:
     return json.loads(text, parse_constant=_refuse)
 
 
-def forbidden_path(value: Any, path: str = "detail") -> str | None:
-    """Where a key that carries memory text is found, at any depth."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k in FORBIDDEN_AUDIT_KEYS:
-                return f"{path}.{k}"
-            if found := forbidden_path(v, f"{path}.{k}"):
-                return found
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            if found := forbidden_path(v, f"{path}[{i}]"):
-                return found
+def _places(value: Any) -> Iterator[tuple[tuple[str | int, ...], str | int]]:
+    """(where, name) of everything that a JSON value holds, level by level."""
+    level: list[tuple[tuple[str | int, ...], Any]] = [((), value)]
+    while level:
+        below = []
+        for where, inner in level:
+            entries = inner.items() if isinstance(inner, dict) else enumerate(inner) if isinstance(inner, list) else ()
+            for name, held in entries:
+                yield where, name
+                below.append(((*where, name), held))
+        level = below
+
+
+def forbidden_path(value: Any) -> str | None:
+    """Where a key stands that carries a record's text: of several, the least deep one."""
+    for where, name in _places(value):
+        if isinstance(name, str) and name in FORBIDDEN_AUDIT_KEYS:
+            return "detail" + "".join(f"[{x}]" if isinstance(x, int) else f".{x}" for x in (*where, name))
     return None
 
 

@@ -51,7 +51,7 @@ class MemoryService:
 
     def _event(self, name: str, action: str, now: int, agent_id: str, detail: dict) -> DataFrame:
         if bad := jsons.forbidden_path(detail):
-            raise ValidationError(f"audit detail must not carry memory text: {bad}")
+            raise ValidationError(f"an event may hold numbers and names only; found a record's field at {bad}")
         row = (uuid.uuid4().hex, self.brain_id, name, agent_id, action, now, clock.timeline_day_for(now, self.tz), jsons.canonical(detail, ascii_only=True))
         return self.store.spark.createDataFrame([row], self.store.table("audit").schema)
 
