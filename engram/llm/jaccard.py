@@ -346,7 +346,7 @@ class JaccardJoin:
     def classes(self) -> DataFrame:
         """``doc_id, n_shingles, component_id``, one row per input row."""
         rows = materialize(self.labelled(), "jaccard-labelled")
-        least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
+        least = materialize(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least")), "jaccard-least")
         return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
 
