@@ -10,15 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Blocks whose letters decompose to one base letter and marks: Latin and its extensions.
-_LATIN = (range(0xC0, 0x250), range(0x1E00, 0x1F00))
+#: All of the basic plane but Hangul, whose syllables decompose to several letters, and surrogates.
+_FOLDED = (range(0xC0, 0xAC00), range(0xE000, 0x10000))
 
 
 @cache
 def _accents() -> tuple[str, str]:
-    """Accented Latin letters and their bases, from the Unicode decomposition rule."""
+    """Letters that decompose to one base letter and marks, and these bases."""
     source, target = [], []
-    for block in _LATIN:
+    for block in _FOLDED:
         for c in map(chr, block):
             d = unicodedata.normalize("NFD", c)
             if len(d) > 1 and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:]):
@@ -27,10 +27,23 @@ def _accents() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@cache
+def _marks() -> str:
+    """A pattern of the combining marks."""
+    ranges: list[list[int]] = []
+    for c in range(0x300, 0x10000):
+        if unicodedata.combining(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def fold(text: Column) -> Column:
-    """Marks dropped, lower case. Native; covers Latin scripts and bare combining marks."""
+    """Marks dropped, lower case. Native; Hangul syllables stay composed, on both sides of a search alike."""
     source, target = _accents()
-    return F.lower(F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), source, target))
+    return F.lower(F.translate(F.regexp_replace(text, _marks(), ""), source, target))
 
 
 def tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.schemas import TTL_TOLERANCE_MS
+
 #: What must be equal for a record to count as imported before.
 PRESERVED = (
     "agent_id", "topic", "catalog", "summary", "content", "timeline_day", "period_start_ms", "period_end_ms",
@@ -61,3 +63,8 @@ def idempotency_key(kind: str, brain: Column, name: Column) -> Column:
 
 def remaining_ttl(expires: Column, exported_at_ms: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), expires - exported_at_ms)
+
+
+def ttl_agrees(recorded: Column, expires: Column, exported_at_ms: int) -> Column:
+    """Whether a record's time left is that of its expiry, within the format's tolerance."""
+    return F.abs(recorded - remaining_ttl(expires, exported_at_ms)) <= TTL_TOLERANCE_MS

@@ -6,17 +6,18 @@ fixed, so that results are the same at any time.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.functions import clock, embedding, jsons, text
+from engram.errors import ProfileMismatchError
+from engram.functions import clock, embedding, jsons, text, vectors
 from engram.operators import constraints, imports, lexical, lifecycle, metrics, scan, search, vector
 from engram.schemas import DAY_MS
-from engram.sources import corpus
+from engram.session import shared_dir
+from engram.sources import corpus, jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW, BRAIN = corpus.NOW_MS, "en"
@@ -24,15 +25,16 @@ WORDS = "Of the THTION; er-re ing, wasn't the"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MEM = """
+_CREATED = "(1706745600000 - (doc_id % 8760) * 3600000)"
+MEM = f"""
 mem AS (
   SELECT 'm' || lpad(doc_id::VARCHAR, 8, '0') AS memory_id, lang AS brain_id, 'corpus' AS agent_id, source AS topic,
     (['bug','decision','preference','fact','note','task'])[(doc_id % 6 + 1)::INT] AS catalog,
-    substr(text, 1, 160) AS summary, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS content,
-    strftime(make_timestamp((1706745600000 - doc_id * 3600000) * 1000), '%Y-%m-%d') AS timeline_day,
-    1706745600000 - doc_id * 3600000 AS created_at_ms, (1 + doc_id % 5)::INT AS importance,
-    1706745600000 - doc_id * 3600000 + 86400000::BIGINT * (CASE doc_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 30 WHEN 2 THEN 90 WHEN 3 THEN 180 ELSE 365 END) AS expires_at_ms,
-    CASE WHEN doc_id % 17 = 0 THEN 1706745600000 - doc_id * 3600000 + 86400000 END AS deleted_at_ms, doc_id % 500 AS vec, doc_id
+    split_part(text, chr(10), 1) AS summary, substr(text, length(split_part(text, chr(10), 1)) + 2) AS content,
+    strftime(make_timestamp({_CREATED} * 1000), '%Y-%m-%d') AS timeline_day,
+    {_CREATED} AS created_at_ms, (1 + doc_id % 5)::INT AS importance,
+    {_CREATED} + 86400000::BIGINT * (CASE doc_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 30 WHEN 2 THEN 90 WHEN 3 THEN 180 ELSE 365 END) AS expires_at_ms,
+    CASE WHEN doc_id % 17 = 0 THEN {_CREATED} + 86400000 END AS deleted_at_ms, doc_id % (SELECT count(*) FROM embeddings) AS vec, doc_id, text
   FROM documents
 ), live AS (
   SELECT * FROM mem WHERE deleted_at_ms IS NULL AND expires_at_ms > 1706745600000
@@ -40,7 +42,7 @@ mem AS (
 AUDIT = """
 audit AS (
   SELECT 'e' || lpad(event_id::VARCHAR, 10, '0') AS event_id, (['en','de','fr','es'])[(user_id % 4 + 1)::INT] AS brain_id,
-    'm' || lpad((event_id % 200)::VARCHAR, 8, '0') AS memory_id, 'agent' || (user_id % 3)::VARCHAR AS agent_id,
+    'm' || lpad((event_id % (SELECT count(*) FROM documents))::VARCHAR, 8, '0') AS memory_id, 'agent' || (user_id % 3)::VARCHAR AS agent_id,
     CASE event_type WHEN 'click' THEN 'remember' WHEN 'error' THEN 'reinforce' WHEN 'purchase' THEN 'forget' WHEN 'signup' THEN 'restore' ELSE 'hard_delete' END AS action,
     epoch_us(ts) // 1000 AS event_at_ms, strftime(ts, '%Y-%m-%d') AS timeline_day, props AS detail_json
   FROM events
@@ -121,6 +123,11 @@ def _mem(spark: SparkSession, d: str, *, vectors: bool = False) -> DataFrame:
     return corpus.memories(spark, d, vectors=vectors)
 
 
+def _whole() -> F.Column:
+    """A document's text, of which a memory has the first line as its summary."""
+    return F.concat_ws("\n", "summary", "content")
+
+
 def _longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
@@ -207,19 +214,18 @@ def recent_line(spark: SparkSession, d: str) -> DataFrame:
     return scan.lines(scan.live(_mem(spark, d), now_ms=NOW))
 
 
-@query(f"WITH {MEM} SELECT memory_id, importance FROM live WHERE doc_id % 7 = 0")
+@query(f"WITH {MEM} SELECT memory_id, importance FROM live")
 def hydrate_keys(spark: SparkSession, d: str) -> DataFrame:
     m = _mem(spark, d)
-    keys = m.where(F.substring("memory_id", 2, 8).cast("long") % 7 == 0).select("brain_id", "memory_id")
-    return scan.get_many(m, keys, now_ms=NOW).select("memory_id", "importance")
+    return scan.get_many(m, m.select("brain_id", "memory_id"), now_ms=NOW).select("memory_id", "importance")
 
 
 # ------------------------------------------------------------------ lexical
 
 
-@query(f"WITH {MEM} SELECT memory_id, unnest(list_distinct({TOKENS.format('summary')})) AS term FROM mem")
+@query(f"WITH {MEM} SELECT memory_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM mem")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _mem(spark, d).select("memory_id", F.explode(text.terms(F.col("summary"))).alias("term"))
+    return _mem(spark, d).select("memory_id", F.explode(text.terms(_whole())).alias("term"))
 
 
 @query(f"WITH {MEM}, {POSTINGS} SELECT term, count(*) AS df FROM posts GROUP BY term")
@@ -232,10 +238,9 @@ def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.corpus_stats(_mem(spark, d)).withColumn("avg_len", F.round("avg_len", 9))
 
 
-@query(f"WITH {MEM}, {POSTINGS} SELECT brain_id, memory_id, term, tf, len FROM posts WHERE term IN ('the', 'of', 'ing')")
+@query(f"WITH {MEM}, {POSTINGS} SELECT brain_id, memory_id, term, tf, len FROM posts")
 def weighted_tf(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([("the",), ("of",), ("ing",)], "term string")
-    return lexical.postings(_mem(spark, d), wanted)
+    return lexical.postings(_mem(spark, d))
 
 
 def _questions(spark: SparkSession, d: str, rows: list[tuple[str, str, str | None, int | None]]) -> DataFrame:
@@ -265,8 +270,7 @@ def lexical_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base}/engram-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/engram-{name}-{uuid.uuid4().hex}"
 
 
 @query(SQL["lexical_candidates"])
@@ -322,14 +326,14 @@ def hybrid_search_punct(spark: SparkSession, d: str) -> DataFrame:
 
 _MANY_SQL = """
 q AS (
-  SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS query_id, (['en','de','fr','es'])[(item_id % 4 + 1)::INT] AS brain_id, substr(text, 1, 80) AS text, item_id % 500 AS vec_id FROM benchmark
+  SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS query_id, (['en','de','fr','es'])[(item_id % 4 + 1)::INT] AS brain_id, text, item_id % (SELECT count(*) FROM embeddings) AS vec_id FROM benchmark
 )"""
 
 
 def batch_questions(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("item_id")
+    i, n = F.col("item_id"), max(corpus.read(spark, d, "embeddings").count(), 1)
     q = corpus.read(spark, d, "benchmark").select(
-        F.concat(F.lit("b"), F.lpad(i.cast("string"), 4, "0")).alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("brain_id"), F.substring("text", 1, 80).alias("text"), (i % 500).alias("vec_id")
+        F.concat(F.lit("b"), F.lpad(i.cast("string"), 4, "0")).alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("brain_id"), "text", (i % n).alias("vec_id")
     )
     e = corpus.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     return q.join(e, "vec_id", "left").select("query_id", "brain_id", "text", "vector")
@@ -355,13 +359,13 @@ def timeline_day_tz(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read(spark, d, "events").select("event_id", clock.timeline_day(at, "Asia/Ho_Chi_Minh").alias("day"))
 
 
-@query(f"WITH {MEM} SELECT memory_id, replace(topic, '-', ' ') || chr(10) || trim(summary, ' ' || chr(9) || chr(10) || chr(13)) AS payload FROM mem")
+@query(f"WITH {MEM} SELECT memory_id, replace(topic, '-', ' ') || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS payload FROM mem")
 def document_payload(spark: SparkSession, d: str) -> DataFrame:
-    return _mem(spark, d).select("memory_id", text.document_payload(F.col("topic"), F.col("summary")).alias("payload"))
+    return _mem(spark, d).select("memory_id", text.document_payload(F.col("topic"), _whole()).alias("payload"))
 
 
 def _lifecycle_sql(done: str, deleted: str, expires: str, removed: str = "false") -> str:
-    return f"""WITH {MEM}, ttl AS (SELECT *, {NOW} + expires_at_ms - created_at_ms AS fresh, {done} AS done FROM mem WHERE doc_id % 4 = 1 OR doc_id % 17 = 0)
+    return f"""WITH {MEM}, ttl AS (SELECT *, {NOW} + expires_at_ms - created_at_ms AS fresh, {done} AS done FROM mem)
 SELECT brain_id, memory_id, CASE WHEN done THEN 'applied' ELSE 'not_found' END AS outcome, CASE WHEN done THEN {deleted} ELSE deleted_at_ms END AS deleted_at_ms,
   CASE WHEN done THEN {expires} ELSE expires_at_ms END AS expires_at_ms, {removed} AS removed FROM ttl"""
 
@@ -370,8 +374,7 @@ _IS_LIVE_SQL = f"(deleted_at_ms IS NULL AND expires_at_ms > {NOW})"
 
 
 def _one(spark: SparkSession, d: str, op: str) -> DataFrame:
-    n = F.substring("memory_id", 2, 8).cast("long")
-    return lifecycle.apply_one(_mem(spark, d), op, (n % 4 == 1) | (n % 17 == 0), now_ms=NOW)
+    return lifecycle.apply_one(_mem(spark, d), op, F.lit(True), now_ms=NOW)
 
 
 @query(_lifecycle_sql(_IS_LIVE_SQL, "deleted_at_ms", "fresh"))
@@ -402,14 +405,31 @@ def lifecycle_ops(spark: SparkSession, d: str) -> DataFrame:
     return e.select(number.alias("op_seq"), "memory_id", F.col("action").alias("op"), F.lit(NOW).cast("long").alias("at_ms")).join(docs, "memory_id")
 
 
-@query()
+_FOLD_SQL = f"""
+WITH RECURSIVE {MEM}, {AUDIT}, ops AS (
+  SELECT memory_id, substr(event_id, 2)::BIGINT AS op_seq, action AS op, row_number() OVER (PARTITION BY memory_id ORDER BY event_id) AS i FROM audit WHERE action <> 'remember'
+), steps AS (
+  SELECT brain_id, memory_id, 0::BIGINT AS i, true AS there, deleted_at_ms AS d, expires_at_ms AS e, {NOW} + expires_at_ms - created_at_ms AS fresh, NULL::BIGINT AS op_seq, NULL::VARCHAR AS op, false AS done
+  FROM mem WHERE memory_id IN (SELECT memory_id FROM ops)
+  UNION ALL
+  SELECT brain_id, memory_id, i, there AND NOT (done AND op = 'hard_delete'), CASE WHEN done AND op = 'forget' THEN {NOW} WHEN done AND op = 'restore' THEN NULL ELSE d END,
+    CASE WHEN done AND op IN ('reinforce', 'restore') THEN fresh WHEN done AND op = 'forget' THEN least(e, {NOW + 30 * DAY_MS}) ELSE e END, fresh, op_seq, op, done
+  FROM (SELECT s.brain_id, s.memory_id, o.i, s.there, s.d, s.e, s.fresh, o.op_seq, o.op, s.there AND CASE o.op WHEN 'restore' THEN s.d IS NOT NULL AND s.d > {NOW - 30 * DAY_MS}
+      WHEN 'hard_delete' THEN true ELSE s.d IS NULL AND s.e > {NOW} END AS done FROM steps s JOIN ops o ON o.memory_id = s.memory_id AND o.i = s.i + 1)
+)"""
+
+
+@query(
+    f"{_FOLD_SQL} SELECT brain_id, memory_id, true AS known, NOT arg_max(there, i) AS removed, last(d ORDER BY i) AS deleted_at_ms, arg_max(e, i) AS expires_at_ms, (count(*) - 1)::INT AS n_ops, (count(*) FILTER (done))::INT AS n_applied "
+    "FROM steps GROUP BY brain_id, memory_id"
+)
 def lifecycle_fold(spark: SparkSession, d: str) -> DataFrame:
     folded = lifecycle.fold(_mem(spark, d), lifecycle_ops(spark, d))
     applied = F.size(F.filter("outcomes", lambda o: o["outcome"] == "applied"))
     return folded.select("brain_id", "memory_id", "known", "removed", "deleted_at_ms", "expires_at_ms", F.size("outcomes").alias("n_ops"), applied.alias("n_applied"))
 
 
-@query()
+@query(f"{_FOLD_SQL} SELECT brain_id, memory_id, 'engine' AS agent_id, op AS action, op_seq FROM steps WHERE done")
 def audit_if_applied(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.audit_of(lifecycle.fold(_mem(spark, d), lifecycle_ops(spark, d)))
 
@@ -506,23 +526,22 @@ def idempotency_keys(spark: SparkSession, d: str) -> DataFrame:
     return _mem(spark, d).select("memory_id", imports.idempotency_key("memory", F.col("brain_id"), F.col("memory_id")).alias("idempotency_key"))
 
 
-@query(f"WITH {MEM}, r AS (SELECT memory_id, greatest(0, expires_at_ms - {NOW}) AS want, greatest(0, expires_at_ms - {NOW}) + (doc_id % 5 - 2) * 600 AS got FROM mem) SELECT memory_id, abs(got - want) <= 1000 AS ok FROM r")
+@query(f"WITH {MEM} SELECT memory_id, greatest(0, expires_at_ms - {NOW}) AS remaining, abs((doc_id % 5 - 2) * 600) <= 1000 AS ok FROM mem")
 def remaining_ttl_check(spark: SparkSession, d: str) -> DataFrame:
+    """What is left at an export, and whether a recorded value that is off by 0, 600 or 1200 ms is within tolerance."""
     n = F.substring("memory_id", 2, 8).cast("long")
-    want = imports.remaining_ttl(F.col("expires_at_ms"), NOW)
-    return _mem(spark, d).select("memory_id", (F.abs(want + (n % 5 - 2) * 600 - want) <= 1000).alias("ok"))
+    left = imports.remaining_ttl(F.col("expires_at_ms"), NOW)
+    recorded = F.greatest(F.lit(0).cast("long"), F.col("expires_at_ms") - NOW) + (n % 5 - 2) * 600
+    return _mem(spark, d).select("memory_id", left.alias("remaining"), imports.ttl_agrees(recorded, F.col("expires_at_ms"), NOW).alias("ok"))
 
 
-@query(
-    "WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations) "
-    "SELECT conv_id, bool_and(before IS NULL OR before <= role) AS sorted, bool_and(turn = pos - 1) AS contiguous FROM l GROUP BY conv_id"
-)
+@query(f"WITH {MEM} SELECT brain_id, (row_number() OVER (PARTITION BY brain_id ORDER BY memory_id))::BIGINT AS seq, memory_id, summary, content, greatest(0, expires_at_ms - {NOW}) AS remaining_ttl_ms FROM mem")
 def line_sortedness(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = corpus.read(spark, d, "conversations").withColumn("before", F.lag("role").over(w)).withColumn("pos", F.row_number().over(w))
-    return rows.groupBy("conv_id").agg(F.every(F.col("before").isNull() | (F.col("before") <= F.col("role"))).alias("sorted"), F.every(F.col("turn") == F.col("pos") - 1).alias("contiguous"))
+    """An export of each brain, written and read back with full validation: contiguous, sorted lines."""
+    target = _scratch(spark, "exports")
+    jsonl.write_exports(_mem(spark, d), target, exported_at_ms=NOW)
+    found = jsonl.read_exports(spark, f"{target}/*/part-*")[0]
+    return found.select("brain_id", "seq", "memory_id", "summary", "content", "remaining_ttl_ms")
 
 
 # ------------------------------------------------------------------ constraints and metrics
@@ -560,15 +579,58 @@ def index_parity(spark: SparkSession, d: str) -> DataFrame:
     return constraints.index_parity(m, index).select("side", "brain_id", "memory_id", "term", "tf", "len")
 
 
-@query(f"WITH {MEM} SELECT count(*) AS memories, 0::BIGINT AS orphans, 0::BIGINT AS without_vector, 1::BIGINT AS profiles FROM mem")
+@query(f"WITH {MEM} SELECT count(*) AS memories, count(*) FILTER (doc_id % 11 = 0) AS orphans, count(*) FILTER (doc_id % 13 = 0) AS without_vector, 1::BIGINT AS profiles FROM mem")
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.integrity(_mem(spark, d, vectors=True), spark.createDataFrame([(corpus.PROFILE,)], "profile_id string"))
+    n = F.substring("memory_id", 2, 8).cast("long")
+    broken = _mem(spark, d, vectors=True).withColumns({"profile_id": F.when(n % 11 == 0, "gone").otherwise(F.col("profile_id")), "embedding": F.when(n % 13 != 0, F.col("embedding"))})
+    return constraints.integrity(broken, spark.createDataFrame([(corpus.PROFILE,)], "profile_id string"))
 
 
-@query("SELECT 'same' AS state")
+@query("SELECT dimension, CASE WHEN dimension = (SELECT max(len(embedding)) FROM embeddings) THEN 'same' ELSE 'mismatch' END AS state FROM (SELECT unnest([8, 64, 640]) AS dimension)")
 def profile_check(spark: SparkSession, d: str) -> DataFrame:
-    stored = spark.createDataFrame([(corpus.PROFILE, "r1", 2, 64)], "profile_id string, revision string, input_version int, dimension int")
-    return spark.createDataFrame([(constraints.register_profile(stored, {"profile_id": corpus.PROFILE, "dimension": 64}),)], "state string")
+    """A profile of the tables' own dimension against wanted ones."""
+    own = corpus.read(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    stored = spark.createDataFrame([(corpus.PROFILE, "r1", 2, own)], "profile_id string, revision string, input_version int, dimension int")
+
+    def state(dimension: int) -> str:
+        try:
+            return constraints.register_profile(stored, {"profile_id": corpus.PROFILE, "dimension": dimension})
+        except ProfileMismatchError:
+            return "mismatch"
+
+    return spark.createDataFrame([(n, state(n)) for n in (8, 64, 640)], "dimension int, state string")
+
+
+@query(f"WITH {AUDIT} SELECT 'action_known' AS rule, count(*) AS n FROM audit WHERE substr(event_id, 2)::BIGINT % 7 = 3 HAVING count(*) > 0 UNION ALL SELECT 'day_shape', count(*) FROM audit WHERE substr(event_id, 2)::BIGINT % 5 = 1 HAVING count(*) > 0")
+def audit_rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    n = F.substring("event_id", 2, 10).cast("long")
+    broken = corpus.audit_events(spark, d).withColumns(
+        {"action": F.when(n % 7 == 3, "seen").otherwise(F.col("action")), "timeline_day": F.when(n % 5 == 1, F.concat("timeline_day", F.lit("\n"))).otherwise(F.col("timeline_day"))}
+    )
+    return constraints.counted(broken, constraints.audit_rules())
+
+
+@query("SELECT rule, count(*) AS n FROM (SELECT unnest(CASE o_orderkey % 4 WHEN 0 THEN ['sha_shape'] WHEN 1 THEN ['status_known'] WHEN 2 THEN ['counters', 'running_is_open'] ELSE [] END) AS rule FROM orders) GROUP BY rule")
+def import_run_violations(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    runs = corpus.read(spark, d, "orders").select(
+        F.when(k == 0, "ABC").otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("artifact_sha256"),
+        F.when(k == 1, "lost").when(k == 2, "running").otherwise("completed").alias("status"),
+        F.lit(NOW).alias("completed_at_ms"),
+        F.when(k == 2, -1).otherwise(0).alias("imported_count"),
+        *(F.lit(0).alias(c) for c in ("last_committed_seq", "skipped_count", "failed_count")),
+    )
+    return constraints.counted(runs, constraints.import_run_rules())
+
+
+@query("SELECT vec_id, vec_id % 5 = 4 AS ok FROM embeddings")
+def malformed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Of five vectors one is kept; the others are missing, cut, zero or hold a NaN."""
+    v, k = F.col("embedding").cast("array<float>"), F.col("vec_id") % 5
+    e = corpus.read(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    broken = F.when(k == 0, F.lit(None)).when(k == 1, F.slice(v, 1, 3)).when(k == 2, F.transform(v, lambda x: x * 0)).when(k == 3, F.transform(v, lambda x, i: F.when(i == 1, F.lit(float("nan"))).otherwise(x))).otherwise(v)
+    return e.select("vec_id", F.coalesce(vectors.well_formed(broken.cast("array<float>"), size), F.lit(False)).alias("ok"))
 
 
 _JUDGED_SQL = f"""
@@ -604,7 +666,7 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
     m = _mem(spark, d)
-    return m.select("memory_id", embedding.embed(text.document_payload(F.col("topic"), F.col("summary"))).alias("embedding"))
+    return m.select("memory_id", embedding.embed(text.document_payload(F.col("topic"), _whole())).alias("embedding"))
 
 
 @query(f"WITH {MEM} SELECT brain_id, memory_id FROM mem WHERE expires_at_ms > {NOW}")

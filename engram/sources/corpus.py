@@ -12,6 +12,7 @@ CATALOGS = ("bug", "decision", "preference", "fact", "note", "task")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 NOW_MS = 1_706_745_600_000
 PROFILE = "hash-64"
+HOURS_A_YEAR = 8760
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str, *, now_ms: int = NOW_MS, vectors: bool = True) -> DataFrame:
-    """One memory a document; all columns are expressions, so unused ones are never read."""
+    """One memory a document: its first line is the summary, the rest of its text the content.
+
+    All columns are expressions, so unused ones are never read. Documents are dealt all vectors in turn.
+    """
     d = F.col("doc_id")
-    created = F.lit(now_ms) - d * 3_600_000
+    # Ages repeat after a year, so that the live share of the rows is the same at any size.
+    created = F.lit(now_ms) - (d % HOURS_A_YEAR) * 3_600_000
+    text = F.coalesce(F.col("text"), F.lit(""))
+    first = F.substring_index(text, "\n", 1)
     deleted = F.when(d % 17 == 0, created + DAY_MS)
     docs = read(spark, sf_dir, "documents").select(
         F.concat(F.lit("m"), F.lpad(d.cast("string"), 8, "0")).alias("memory_id"),
@@ -29,8 +36,8 @@ def memories(spark: SparkSession, sf_dir: str, *, now_ms: int = NOW_MS, vectors:
         F.lit("corpus").alias("agent_id"),
         F.col("source").alias("topic"),
         F.element_at(F.array(*map(F.lit, CATALOGS)), (d % len(CATALOGS) + 1).cast("int")).alias("catalog"),
-        F.substring("text", 1, 160).alias("summary"),
-        F.when(d % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("content"),
+        first.alias("summary"),
+        F.substr(text, F.length(first) + 2).alias("content"),
         timeline_day(created).alias("timeline_day"),
         F.lit(None).cast("long").alias("period_start_ms"),
         F.lit(None).cast("long").alias("period_end_ms"),
@@ -42,22 +49,23 @@ def memories(spark: SparkSession, sf_dir: str, *, now_ms: int = NOW_MS, vectors:
         F.lit("{}").alias("metadata"),
         F.lit(PROFILE).alias("profile_id"),
         F.lit(1).alias("record_version"),
-        (d % 500).alias("_vec"),
+        d.alias("_vec"),
     )
     if not vectors:
         return docs.drop("_vec")
-    emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding").where(F.col("_vec") < 500)
-    # At most 500 vectors are used, so the broadcast side is bounded.
-    return docs.join(F.broadcast(emb), "_vec", "left").drop("_vec")
+    emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    n = max(emb.count(), 1)
+    return docs.withColumn("_vec", F.col("_vec") % n).join(emb, "_vec", "left").drop("_vec")
 
 
 def audit_events(spark: SparkSession, sf_dir: str, *, tz: str = "UTC") -> DataFrame:
     at = F.unix_millis(F.col("ts").cast("timestamp"))
+    n = max(read(spark, sf_dir, "documents").count(), 1)
     index = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type"))
     return read(spark, sf_dir, "events").select(
         F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("event_id"),
         F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("user_id") % 4 + 1).cast("int")).alias("brain_id"),
-        F.concat(F.lit("m"), F.lpad((F.col("event_id") % 200).cast("string"), 8, "0")).alias("memory_id"),
+        F.concat(F.lit("m"), F.lpad((F.col("event_id") % n).cast("string"), 8, "0")).alias("memory_id"),
         F.concat(F.lit("agent"), (F.col("user_id") % 3).cast("string")).alias("agent_id"),
         F.element_at(F.array(*map(F.lit, AUDIT_ACTIONS)), index.cast("int")).alias("action"),
         at.alias("event_at_ms"),

@@ -8,6 +8,7 @@ parallel. The first broken rule raises.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterable
@@ -219,3 +220,28 @@ def read_exports(spark: SparkSession, path: str, *, format_name: str = FORMAT) -
     lines = files.mapInArrow(run, kinds)
     take = lambda kind, row: lines.where(F.col("kind") == kind).select("export_id", "seq", F.from_json("payload", row).alias("p")).select("export_id", "seq", "p.*")
     return take("memory", _MEMORY_ROW), take("audit", _AUDIT_ROW)
+
+
+def write_exports(memories: DataFrame, path: str, *, exported_at_ms: int, format_name: str = FORMAT, records_a_file: int = 10_000) -> None:
+    """Exports of ``memories`` under ``path``, one folder a brain, of some ``records_a_file`` records each.
+
+    Files are made in parallel, one a task at a time: a brain's rows are dealt to
+    files by ranges of their ids, so its records are in order from file to file.
+    """
+    names = [k for k in sorted(MEMORY_KEYS) if k != "remaining_ttl_ms"]
+    rows = memories.select("brain_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("row"), "memory_id")
+    sizes = {r["brain_id"]: r["n"] for r in memories.groupBy("brain_id").agg(F.count("*").alias("n")).collect()}  # a row a brain
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = [json.loads(x) for b in batches for x in b.column(0).to_pylist()]
+        if held:
+            for p in held:
+                p["metadata"] = parse(p["metadata"])
+            data = build_envelope(held, [], export_id=str(uuid.uuid4()), exported_at_ms=exported_at_ms, format_name=format_name)
+            yield pa.RecordBatch.from_pydict({"value": data.decode().split("\n")[:-1]})
+
+    for i, (brain, n) in enumerate(sorted(sizes.items())):
+        own = rows.where(F.col("brain_id") == brain).repartitionByRange(-(-n // records_a_file), "memory_id")
+        own.select("row").mapInArrow(run, "value string").write.text(f"{path}/{i:05}")
