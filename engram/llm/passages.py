@@ -164,6 +164,7 @@ def verify(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple
     while todo:
         i, j = todo.pop()
         s, e = int(where[i]), int(where[j - 1])
+        inner = seams[i : j - 1]
         need = least - (e - s + 1)
         if need > 0 and (j - i) * 100 < percent * (e - s + 1):
             continue
@@ -173,10 +174,12 @@ def verify(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple
             x, y = np.unique(a[s - left : e + 1 + right]), np.unique(b[lo - left : hi + 1 + right])
             both = len(np.intersect1d(x, y, assume_unique=True))
             union = len(x) + len(y) - both
-            if both * 100 >= percent * union:
+            # A passage that ``a`` has twice is found twice, not as one that is much longer than its copy.
+            sizes = sorted((e - s + 1, hi - lo + 1))
+            twice = sizes[0] * 100 < percent * sizes[1] and len(inner) and inner.max() >= least // 2
+            if both * 100 >= percent * union and not twice:
                 out.append((s - left, e + 1 + right, lo - left, hi + 1 + right, both / union))
                 continue
-        inner = seams[i : j - 1]
         if len(inner) and inner.max() > 0:
             weakest = np.flatnonzero(inner == inner.max())
             k = i + 1 + int(weakest[len(weakest) // 2])
