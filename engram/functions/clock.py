@@ -47,11 +47,13 @@ def iso(ms: int | None, tz: str = "UTC") -> str | None:
     return None if ms is None else datetime.fromtimestamp(ms / 1000, UTC).astimezone(ZoneInfo(tz)).isoformat()
 
 
-def iso_column(ms: Column) -> Column:
-    """``iso`` in UTC, native."""
-    ts = F.timestamp_millis(ms)
+def iso_column(ms: Column, tz: str = "UTC") -> Column:
+    """``iso``, native; the session's zone must be UTC."""
+    ts = F.from_utc_timestamp(F.timestamp_millis(ms), tz)
+    ahead = F.floor((F.unix_millis(ts) - ms) / 60_000)  # minutes
+    offset = F.concat(F.when(ahead < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(ahead) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(ahead) % 60).cast("string"), 2, "0"))
     fraction = F.when(F.pmod(ms, F.lit(1000)) == 0, F.lit("")).otherwise(F.date_format(ts, ".SSS000"))
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, offset)
 
 
 def _ms(x: Column | int) -> Column:

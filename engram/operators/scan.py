@@ -104,7 +104,8 @@ def preview(memories: DataFrame) -> DataFrame:
     return memories.withColumn("has_content", F.length("content") > 0).select(*PREVIEW)
 
 
-def detail(memories: DataFrame) -> DataFrame:
+def detail(memories: DataFrame, *, tz: str = "UTC") -> DataFrame:
+    """All of a record; times are ISO 8601 in ``tz``."""
     times = ("created_at_ms", "updated_at_ms", "expires_at_ms", "period_start_ms", "period_end_ms")
     return memories.select(
         *(c for c in PREVIEW if c != "has_content"),
@@ -112,7 +113,7 @@ def detail(memories: DataFrame) -> DataFrame:
         "content",
         "agent_id",
         "metadata",
-        *(iso_column(F.col(c)).alias(c.removesuffix("_ms")) for c in times),
+        *(iso_column(F.col(c), tz).alias(c.removesuffix("_ms")) for c in times),
     )
 
 

@@ -9,14 +9,18 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.errors import ValidationError
+from engram.errors import EngramError, ValidationError
 from engram.functions import clock, jsons
 from engram.functions.embedding import Embedder, HashingEmbedder
 from engram.functions.text import tokenize
+from engram.functions.vectors import check_query_vector
 from engram.operators import constraints, lifecycle, scan, search
-from engram.schemas import AUDIT_DEFAULT, MEMORIES, PREVIEW, PROFILES, RECENT_DEFAULT, TOKEN_BUDGETS
+from engram.schemas import AUDIT_DEFAULT, MEMORIES, PREVIEW, PROFILES, PURGE_BATCH, RECENT_DEFAULT, TOKEN_BUDGETS
 from engram.sources.store import Store
 
+#: What ``respond`` answers.
+VERBS = ("remember", "search", "recent", "get", "reinforce", "forget", "health", "audit")
+
 
 class MemoryService:
     """``clock`` gives epoch milliseconds. The brain is bound here and never an argument."""
@@ -28,8 +32,11 @@ class MemoryService:
         self.embedder = embedder or HashingEmbedder()
         self.count_tokens = count_tokens or (lambda t: len(tokenize(t)))
         profile = {"profile_id": profile_id, "revision": "1", "input_version": 2, "dimension": self.embedder.dimension}
+        self.profile = profile
         if constraints.register_profile(store.table("profiles"), profile) == "new" and not store.read_only:
-            store.commit(profiles=store.spark.createDataFrame([tuple(profile.values())], PROFILES))
+            with store.transaction():
+                if constraints.register_profile(store.table("profiles"), profile) == "new":
+                    store.commit(profiles=store.spark.createDataFrame([tuple(profile.values())], PROFILES))
 
     # -------------------------------------------------------------- writing
 
@@ -56,13 +63,13 @@ class MemoryService:
         return self.store.spark.createDataFrame([row], self.store.table("audit").schema)
 
     def _mutate(self, name: str, op: str, agent_id: str) -> dict[str, Any]:
-        now = self.clock()
-        key = (F.col("brain_id") == self.brain_id) & (F.col("memory_id") == name)
-        done = lifecycle.apply_one(self.store.memories(), op, key, now_ms=now).where("outcome = 'applied'").collect()
-        if not done:
-            return {"ok": False, "reason": "not_found"}
-        state = self.store.spark.createDataFrame([(r["brain_id"], r["memory_id"], r["deleted_at_ms"], r["expires_at_ms"], r["removed"]) for r in done], "brain_id string, memory_id string, deleted_at_ms bigint, expires_at_ms bigint, removed boolean")
-        self.store.append_lifecycle(state, op, at_ms=now, audit=self._event(name, op, now, agent_id, {}))
+        with self.store.transaction():  # judged and written under one lock
+            now = self.clock()
+            done = lifecycle.apply_one(self.store.memories(self.brain_id, name), op, F.lit(True), now_ms=now).where("outcome = 'applied'").collect()
+            if not done:
+                return {"ok": False, "reason": "not_found"}
+            state = self.store.spark.createDataFrame([(r["brain_id"], r["memory_id"], r["deleted_at_ms"], r["expires_at_ms"], r["removed"]) for r in done], "brain_id string, memory_id string, deleted_at_ms bigint, expires_at_ms bigint, removed boolean")
+            self.store.append_lifecycle(state, op, at_ms=now, audit=self._event(name, op, now, agent_id, {}))
         return {"ok": True, "memory_id": name} | ({} if op == "hard_delete" else {"expires_at": clock.iso(done[0]["expires_at_ms"], self.tz)})
 
     def reinforce(self, memory_id: str, *, agent_id: str) -> dict[str, Any]:
@@ -79,12 +86,17 @@ class MemoryService:
 
     def purge_expired(self, max_rows: int = 500) -> int:
         """Tombstones for rows past their time, of all brains."""
-        now = self.clock()
-        gone = lifecycle.purge_expired(self.store.memories(), now_ms=now, max_rows=max_rows)[1].collect()
-        if gone:
-            rows = [(r["brain_id"], r["memory_id"], None, now, True) for r in gone]
-            self.store.append_lifecycle(self.store.spark.createDataFrame(rows, "brain_id string, memory_id string, deleted_at_ms bigint, expires_at_ms bigint, removed boolean"), "purge", at_ms=now)
-        return len(gone)
+        with self.store.transaction():
+            now = self.clock()
+            gone = lifecycle.purge_expired(self.store.memories(), now_ms=now, max_rows=max_rows)[1].collect()
+            if gone:
+                rows = [(r["brain_id"], r["memory_id"], None, now, True) for r in gone]
+                self.store.append_lifecycle(self.store.spark.createDataFrame(rows, "brain_id string, memory_id string, deleted_at_ms bigint, expires_at_ms bigint, removed boolean"), "purge", at_ms=now)
+            return len(gone)
+
+    def purge_retained(self, max_rows: int = PURGE_BATCH) -> int:
+        """Remove audit events past retention, of all brains."""
+        return self.store.purge_audit(now_ms=self.clock(), max_rows=max_rows)
 
     # -------------------------------------------------------------- reading
 
@@ -93,9 +105,11 @@ class MemoryService:
         if not query.strip():
             raise ValidationError("the query is blank")
         now = self.clock()
-        vector = [float(x) for x in self.embedder([query.strip()])[0]]
+        payload = query.strip()
+        vector = check_query_vector([float(x) for x in self.embedder([payload])[0]], self.embedder.dimension)
         q = self.store.spark.createDataFrame([("q", self.brain_id, query, vector)], "query_id string, brain_id string, text string, vector array<double>")
-        found = search.search(self.store.memories(), q, now_ms=now, filters=scan.Filters.of(now_ms=now, **filters))
+        # Rows of other brains count in the statistics where there is no index.
+        found = search.search(self.store.memories(), q, now_ms=now, filters=scan.Filters.of(now_ms=now, **filters), index=self.store.index())
         return [{c: r[c] for c in PREVIEW} for r in found.orderBy("rank").collect()]
 
     def recent(self, limit: int = RECENT_DEFAULT, **filters: Any) -> list[dict[str, Any]]:
@@ -103,11 +117,15 @@ class MemoryService:
         rows = scan.recent(self.store.memories(), brain_id=self.brain_id, now_ms=now, limit=limit, filters=scan.Filters.of(now_ms=now, **filters))
         return [r.asDict() for r in scan.preview(rows).collect()]
 
+    def current_day(self) -> str:
+        """The diary day that it is now."""
+        return clock.timeline_day_for(self.clock(), self.tz)
+
     def today(self) -> list[dict[str, Any]]:
         return self.recent(limit=100, timeline_day=clock.timeline_day_for(self.clock(), self.tz))
 
     def get(self, memory_id: str) -> dict[str, Any]:
-        rows = scan.detail(scan.get(self.store.memories(), memory_id, brain_id=self.brain_id, now_ms=self.clock())).collect()
+        rows = scan.detail(scan.get(self.store.memories(self.brain_id, memory_id), memory_id, brain_id=self.brain_id, now_ms=self.clock()), tz=self.tz).collect()
         return {"found": True} | rows[0].asDict() | {"metadata": jsons.parse(rows[0]["metadata"])} if rows else {"found": False}
 
     def audit(self, day: str | None = None, limit: int = AUDIT_DEFAULT) -> list[dict[str, Any]]:
@@ -122,7 +140,18 @@ class MemoryService:
             facts["violations"] = constraints.counted(self.store.memories(), constraints.memory_rules(self.embedder.dimension)).count()
             facts["duplicates"] = constraints.duplicates(self.store.memories()).count()
             ok &= not facts["violations"] and not facts["duplicates"]
-        return {"status": "ok" if ok else "degraded", "brain_id": self.brain_id, **facts}
+        state = {"store_version": self.store.version, "profile": self.profile, "embedder": type(self.embedder).__name__, "timezone": self.tz, "vector_backend": "exact", "indexed": self.store.index() is not None}
+        return {"status": "ok" if ok else "degraded", "brain_id": self.brain_id, **state, **facts}
+
+    def respond(self, verb: str, **arguments: Any) -> str:
+        """A verb's answer as one JSON object; lists come with their number, refusals as an error."""
+        if verb not in VERBS:
+            raise ValidationError(f"no such verb: {verb!r}")
+        try:
+            found = getattr(self, verb)(**arguments)
+        except EngramError as e:
+            return jsons.canonical({"error": type(e).__name__, "message": str(e)})
+        return jsons.canonical({"count": len(found), "results": found} if isinstance(found, list) else found)
 
     def _budgets(self, **texts: str) -> None:
         over = [f"{k}: {n} tokens, at most {TOKEN_BUDGETS[k]}" for k, t in texts.items() if (n := self.count_tokens(t)) > TOKEN_BUDGETS[k]]

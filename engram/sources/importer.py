@@ -59,7 +59,8 @@ class Importer:
         while done < total:
             end = min(done + self.batch, total)
             try:
-                a, b = self._batch(env, done, end, started, imported, skipped)
+                with self.store.transaction():  # classified and written under one lock
+                    a, b = self._batch(env, done, end, started, imported, skipped)
             except ImportConflictError:
                 self.store.commit(imports=self._run(env, "failed", started, None, done, imported, skipped, 1))
                 raise

@@ -5,7 +5,10 @@ has one row for each operation that was applied. The current state is the newest
 lifecycle row of a key over its memory row. A commit writes new files into a
 folder of its own and then names it in a manifest, which replaces the old one by
 an atomic rename; readers see the old state or the new one. Writers hold a lock
-file. One writer at a time is a deliberate limit of plain Parquet.
+file with their name and the end of their lease: a lock whose lease is over is
+taken over, and a writer that lost its lock so cannot commit. What a change
+depends on is read and judged under the lock (``transaction``). One writer at a
+time is a deliberate limit of plain Parquet.
 
 Paths go through Hadoop's file systems, so the store can be anywhere Spark reads.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -23,24 +27,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.errors import BusyError, DuplicateKeyError, StoreError, ValidationError
-from engram.operators import constraints
-from engram.schemas import AUDIT_EVENTS, IMPORT_RUNS, LIFECYCLE, MEMORIES, PROFILES
+from engram.operators import constraints, lifecycle
+from engram.operators.lexical import LexicalIndex
+from engram.schemas import AUDIT_EVENTS, IMPORT_RUNS, LIFECYCLE, MEMORIES, PROFILES, PURGE_BATCH
 
 VERSION = 1
 TABLES = {"memories": MEMORIES, "lifecycle": LIFECYCLE, "audit": AUDIT_EVENTS, "imports": IMPORT_RUNS, "profiles": PROFILES}
-ATTEMPTS, FIRST_WAIT_S = 5, 0.05
+ATTEMPTS, FIRST_WAIT_S, LEASE_S = 5, 0.05, 900.0
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, *, read_only: bool = False, create: bool = True) -> None:
-        self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
+    version = VERSION
+
+    def __init__(self, spark: SparkSession, path: str, *, read_only: bool = False, create: bool = True, lease_s: float = LEASE_S) -> None:
+        self.spark, self.path, self.read_only, self.lease_s = spark, path.rstrip("/"), read_only, lease_s
+        self._mutex, self._owner = threading.RLock(), ""
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not self._fs.exists(self._path(f"{self.path}/_CURRENT")):
             if read_only or not create:
                 raise StoreError(f"no store at {path}")
-            with self._lock():
+            with self.transaction():
                 if not self._fs.exists(self._path(f"{self.path}/_CURRENT")):
                     self._swap({"version": VERSION, "op_seq": 0, "parts": {t: [] for t in TABLES}})
         self._current()
@@ -63,6 +71,8 @@ class Store:
         return found
 
     def _swap(self, state: dict) -> None:
+        if self._holder()[0] != self._owner:
+            raise BusyError("the lock was taken over when its lease was over")
         new = self._path(f"{self.path}/_NEW-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
@@ -72,27 +82,60 @@ class Store:
         options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._path(f"{self.path}/_CURRENT"), options)
 
-    @contextmanager
-    def _lock(self) -> Iterator[None]:
-        if self.read_only:
-            raise StoreError("the store is open for reading only")
-        lock, jvm = self._path(f"{self.path}/_LOCK"), self.spark.sparkContext._jvm
+    def _holder(self) -> tuple[str, float]:
+        """Who holds the lock, and until when; a lock without a name is held for a lease from its making on."""
+        try:
+            made = self._fs.getFileStatus(self._path(f"{self.path}/_LOCK")).getModificationTime() / 1000
+            text = self._read("_LOCK")
+        except Exception:  # it has just been released
+            return "", 0.0
+        try:
+            found = json.loads(text)
+            return found["owner"], found["until"]
+        except (ValueError, KeyError):
+            return "?", made + self.lease_s
+
+    def _take(self) -> None:
+        lock, me = self._path(f"{self.path}/_LOCK"), uuid.uuid4().hex
         self._fs.mkdirs(self._path(self.path))
         for n in range(ATTEMPTS):
             try:
-                self._fs.create(lock, False).close()
-                break
+                out = self._fs.create(lock, False)
             except Exception as e:
-                if not self._fs.exists(lock):
+                if not self._fs.exists(self._path(self.path)):
                     raise StoreError(str(e)) from e
-                if n == ATTEMPTS - 1:
-                    raise BusyError("another writer holds the store") from None
+            else:
+                out.write(bytearray(json.dumps({"owner": me, "until": time.time() + self.lease_s}).encode()))
+                out.close()
+                self._owner = me
+                return
+            who, until = self._holder()
+            if who and until < time.time():  # one of several takers moves it away; its writer cannot commit any more
+                old = self._path(f"{self.path}/_OLD-{uuid.uuid4().hex}")
+                if self._fs.rename(lock, old):
+                    self._fs.delete(old, False)
+                continue
+            if n < ATTEMPTS - 1:
                 time.sleep(FIRST_WAIT_S * 2**n * random.uniform(0.5, 1.5))
-        try:
-            yield
-        finally:
-            self._fs.delete(lock, False)
-            del jvm
+        raise BusyError("another writer holds the store")
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Hold the lock; commits inside are this writer's, and what they depend on does not change meanwhile."""
+        if self.read_only:
+            raise StoreError("the store is open for reading only")
+        with self._mutex:
+            if self._owner:
+                yield
+                return
+            self._take()
+            try:
+                yield
+            finally:
+                mine = self._holder()[0] == self._owner
+                self._owner = ""
+                if mine:
+                    self._fs.delete(self._path(f"{self.path}/_LOCK"), False)
 
     # -------------------------------------------------------------- tables
 
@@ -100,24 +143,51 @@ class Store:
         parts = [f"{self.path}/{p}" for p in self._current()["parts"][name]]
         return self.spark.read.schema(TABLES[name]).parquet(*parts) if parts else self.spark.createDataFrame([], TABLES[name])
 
-    def memories(self) -> DataFrame:
-        """Current state of all rows that are not removed."""
-        newest = self.table("lifecycle").groupBy("brain_id", "memory_id").agg(F.max_by(F.struct("deleted_at_ms", "expires_at_ms", "removed"), "op_seq").alias("_l"))
-        rows = self.table("memories").join(newest, ["brain_id", "memory_id"], "left").where(~F.coalesce(F.col("_l.removed"), F.lit(False)))
+    def memories(self, brain_id: str | None = None, memory_id: str | None = None) -> DataFrame:
+        """Current state of all rows that are not removed, or of a brain's or one key's; the key is sought in the files first."""
+        key = F.lit(True)
+        for name, value in (("brain_id", brain_id), ("memory_id", memory_id)):
+            if value is not None:
+                key &= F.col(name) == value
+        newest = self.table("lifecycle").where(key).groupBy("brain_id", "memory_id").agg(F.max_by(F.struct("deleted_at_ms", "expires_at_ms", "removed"), "op_seq").alias("_l"))
+        rows = self.table("memories").where(key).join(newest, ["brain_id", "memory_id"], "left").where(~F.coalesce(F.col("_l.removed"), F.lit(False)))
         state = {c: F.when(F.col("_l").isNotNull(), F.col(f"_l.{c}")).otherwise(F.col(c)) for c in ("deleted_at_ms", "expires_at_ms")}
         return rows.withColumns(state).select(*MEMORIES.names)
 
+    def reindex(self) -> LexicalIndex:
+        """Write the lexical index of what is stored now; searches use it until a row comes or goes."""
+        with self.transaction():
+            state = self._current()
+            path = f"index/{uuid.uuid4().hex}"
+            index = LexicalIndex.build(self.memories(), f"{self.path}/{path}")
+            state["index"] = {"path": path, "of": self._rows_of(state)}
+            self._swap(state)
+            return index
+
+    def index(self) -> LexicalIndex | None:
+        """The index, if it is of the rows that are there now."""
+        state = self._current()
+        found = state.get("index")
+        return LexicalIndex(self.spark, f"{self.path}/{found['path']}") if found and found["of"] == self._rows_of(state) else None
+
+    @staticmethod
+    def _rows_of(state: dict) -> list:
+        """What changes when rows come or go; forgetting and the like leave texts as they are."""
+        return [state["parts"]["memories"], state.get("removals", 0)]
+
     def commit(self, op_seq: int | None = None, **tables: DataFrame) -> None:
         """Append to several tables at once."""
-        with self._lock():
+        with self.transaction():
             self._commit(op_seq, tables)
 
-    def _commit(self, op_seq: int | None, tables: dict[str, DataFrame], replace: bool = False) -> None:
+    def _commit(self, op_seq: int | None, tables: dict[str, DataFrame], replace: bool = False, removal: bool = False) -> None:
         state = self._current()
+        state["removals"] = state.get("removals", 0) + removal
         for name, df in tables.items():
             part = f"{name}/{uuid.uuid4().hex}"
             conformed = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
-            conformed.write.parquet(f"{self.path}/{part}")
+            order = [c for c in ("brain_id", "memory_id", "event_id") if c in conformed.columns]
+            (conformed.sortWithinPartitions(*order) if order else conformed).write.parquet(f"{self.path}/{part}")
             state["parts"][name] = [part] if replace else [*state["parts"][name], part]
         if op_seq is not None:
             state["op_seq"] = op_seq
@@ -125,7 +195,7 @@ class Store:
 
     def append_memories(self, rows: DataFrame, audit: DataFrame | None = None, *, dim: int | None = None) -> None:
         """Add rows whose keys are new, checked before anything is written."""
-        with self._lock():
+        with self.transaction():
             bad = constraints.validate(rows, constraints.memory_rules(dim))[1].select("memory_id", "violations").limit(5).collect()
             if bad:
                 raise ValidationError(f"rows break rules: {[(r['memory_id'], r['violations']) for r in bad]}")
@@ -137,10 +207,10 @@ class Store:
 
     def append_lifecycle(self, changed: DataFrame, op: str, *, at_ms: int, audit: DataFrame | None = None) -> None:
         """Add states of ``brain_id, memory_id, deleted_at_ms, expires_at_ms, removed`` after ``op``."""
-        with self._lock():
+        with self.transaction():
             seq = self._current()["op_seq"] + 1
             rows = changed.select("brain_id", "memory_id", F.lit(seq).alias("op_seq"), F.lit(op).alias("op"), F.lit(at_ms).alias("at_ms"), "deleted_at_ms", "expires_at_ms", "removed")
-            self._commit(seq, {"lifecycle": rows} | ({"audit": audit} if audit is not None else {}))
+            self._commit(seq, {"lifecycle": rows} | ({"audit": audit} if audit is not None else {}), removal=op in ("hard_delete", "purge"))
 
     def imports(self) -> DataFrame:
         """The newest row of each import run."""
@@ -149,5 +219,15 @@ class Store:
 
     def compact(self) -> None:
         """Fold the log: current rows become the memories, the lifecycle log starts anew."""
-        with self._lock():
+        with self.transaction():
             self._commit(None, {"memories": self.memories(), "lifecycle": self.spark.createDataFrame([], LIFECYCLE)}, replace=True)
+
+    def purge_audit(self, *, now_ms: int, max_rows: int = PURGE_BATCH) -> int:
+        """Remove audit events past retention, at most ``max_rows``, oldest first; how many went."""
+        with self.transaction():
+            events = self.table("audit")
+            kept, gone = lifecycle.purge_audit(events, now_ms=now_ms, max_rows=max_rows)
+            n = gone.count()
+            if n:
+                self._commit(None, {"audit": kept}, replace=True)
+            return n
