@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import materialize
+from engram.llm.common import materialize, parallelism
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,8 @@ def nearest_neighbours(
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int64()), pa.array(order, pa.int32())], names=["id", "v", "leaf", "round"])
 
-    routed = materialize(asked.mapInArrow(route, f"{_META}, leaf bigint, round int"), "ann-routed")
+    spread = asked.repartition(parallelism(spark), "id")  # a walk costs far more than its row's bytes tell
+    routed = materialize(spread.mapInArrow(route, f"{_META}, leaf bigint, round int"), "ann-routed")
     visitors = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
     sizes = spark.createDataFrame(
         [(leaf, -(-n // settings.part), max(1, -(-visitors.get(leaf, 0) // settings.part))) for leaf, n in held.items()], "leaf bigint, vparts int, qparts int"

@@ -117,7 +117,8 @@ def pack_documents(
     total, th, times = (fresh(c, [*RESULT, *keep]) for c in ("_total", "_th", "_times"))
     text = text_or_empty(text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias(th), (word_count(text_col) if size is None else size).cast("long").alias(total), *keep)
-    rows = sized.groupBy("doc_id", th, total, *keep).agg(F.count("*").alias(times))
+    # Ids and lengths only; texts are read once for them.
+    rows = materialize(sized.groupBy("doc_id", th, total, *keep).agg(F.count("*").alias(times)), "packing-rows")
     numbered = _numbered(rows, th, total, times, keep)
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(total) / top) - 1, F.lit(0).cast("long"))))
     pieces = (
