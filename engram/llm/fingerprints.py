@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import parallelism, text_or_empty
+from engram.llm.common import parallelism, sliced, text_or_empty
 
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 32, 96, 384
 STRICT_BITS, LOOSE_BITS = 8, 5
@@ -151,7 +151,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             prints = [encode(c) for c in chunk_sets(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
@@ -221,7 +221,7 @@ def compare_with_edit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose successor has not come yet
-        for b in batches:
+        for b in sliced(batches):
             rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
             sets = chunk_sets([r[1] for r in rows])
             done = []
