@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.common import sliced
+
 #: Short notices, SPDX lines, headers and permission texts of common public licences.
 #: An SPDX line of a one-word identifier has too few bigrams to be told from others at the threshold.
 TEMPLATES = {
@@ -306,7 +308,7 @@ def scan_licenses(
     id_field = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at, names, starts, ends, scores, passages = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 for name, s, e, score in index.scan(text or ""):
