@@ -73,8 +73,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.chat import format_chats, read_back
+
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    return read_back(*format_chats(chats.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op8_passages, op9_licenses, op10_secrets)}
+    numbered = (op1_lines, op2_fingerprints, op3_packing, op4_jaccard, op5_toxicity, op6_neighbours, op7_mixing, op8_passages, op9_licenses, op10_secrets, op11_trie, op12_chat, op13_clusters)
+    return {f.__name__: f for f in numbered}
 
 
 #: Budgets, seeds and the temperature are those of the operator's defaults.
@@ -126,5 +147,91 @@ FROM kept GROUP BY doc_id
 """
 
 
+#: Checksums bit by bit; a node is the sequence of its first turns, written out.
+_OP11 = """
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), rows AS (
+  SELECT v.c, o.k AS d, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.k <= v.h
+  UNION ALL
+  SELECT v.c, o.k - v.h + least(v.h, (SELECT count(*) FROM own b WHERE b.c = v.base)), o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.k > v.h
+), seqs AS (
+  SELECT c, list(struct_pack(role, text) ORDER BY d) AS s FROM rows GROUP BY c
+), members AS (
+  SELECT c, coalesce(len(s), 0) AS n, unnest(range(coalesce(len(s), 0) + 1)) AS d, s FROM convs LEFT JOIN seqs USING (c)
+), prefixes AS (
+  SELECT c, n, d, CASE WHEN d = 0 THEN '' ELSE sha256(s[1:d]::VARCHAR || to_json(s[1:d])::VARCHAR) END AS id,
+    CASE WHEN d > 0 THEN CASE WHEN d = 1 THEN '' ELSE sha256(s[1:d - 1]::VARCHAR || to_json(s[1:d - 1])::VARCHAR) END END AS up,
+    CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS chars FROM members
+), nodes AS (
+  SELECT id, d, min(up) AS up, min(c) AS owner, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM prefixes GROUP BY id, d
+), kids AS (
+  SELECT up AS id, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up
+), under AS (
+  SELECT DISTINCT p.id, q.id AS below FROM prefixes p JOIN prefixes q ON p.c = q.c AND q.d >= p.d
+), sums AS (
+  SELECT under.id, sum(b.saved)::BIGINT AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM under JOIN nodes b ON b.id = below LEFT JOIN kids k ON k.id = below GROUP BY under.id
+)
+SELECT n.owner AS conv_id, n.d::BIGINT AS depth, u.owner AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.id = n.id LEFT JOIN kids k ON k.id = n.id LEFT JOIN nodes u ON u.id = n.up
+"""
+
+
+def _escape(col: str) -> str:
+    out = f"replace({col}, chr(92), repeat(chr(92), 2))"
+    for c in ("<s>", "</s>", "[INST]", "[/INST]"):
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+_OP12 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(20 + length({_escape("role")}) + length({_escape("text")}))::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
+"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    at = "list_sum(list_transform(list_zip(x, q), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT"
+    parts = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x AS q FROM kept QUALIFY c < {k}
+)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min(vec_id) AS vec_id, min((d, c)) AS best, min(x) AS x
+  FROM (SELECT rid, vec_id, c, x, {at} AS d FROM (SELECT row_number() OVER () AS rid, * FROM kept), c{r}) GROUP BY rid
+)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (
+  SELECT best[2] AS c, j, sum(v) AS s, count(*) AS n FROM (SELECT best, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m, q) AS q FROM c{r} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM s{r} GROUP BY c) USING (c)
+)""")
+    last = f"""
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+  (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best[2]"""
+    return ", ".join(parts) + last
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": _OP1, "op7_mixing": _OP7}
+    return {"op1_lines": _OP1, "op7_mixing": _OP7, "op11_trie": _OP11, "op12_chat": _OP12, "op13_clusters": _clusters_sql()}
