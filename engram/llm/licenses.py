@@ -13,6 +13,8 @@ reported, and the search goes on to both sides of it.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -251,44 +253,96 @@ class Index:
                 continue
             found += self._template(name, grams, hits, low, high)
         found.sort(key=lambda x: (-x[0], -(x[2] - x[1]), x[1], x[3]))
-        taken: list[tuple[float, int, int, str]] = []
-        for x in found:
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
-                taken.append(x)
-        return [(n, a, b + 1, s) for s, a, b, n in sorted(taken, key=lambda x: x[1])]
+        taken = Taken()
+        kept = [x for x in found if taken.add(x[1], x[2])]
+        return [(n, a, b + 1, s) for s, a, b, n in sorted(kept, key=lambda x: x[1])]
 
     def _template(self, name: str, grams: np.ndarray, hits: np.ndarray, low: float, high: float) -> list[tuple[float, int, int, str]]:
-        m = sum(self.bigrams[name].values())
-        out: list[tuple[float, int, int, str]] = []
-        # A passage above the threshold has fewer misses than this in all, so a longer gap between hits parts passages.
-        gap = int(high * (1 - self.threshold / (2 - self.threshold))) + 1
-        parts = np.split(hits, np.flatnonzero(np.diff(hits) > gap + 1) + 1)
-        todo = [p for p in parts if len(p)]
-        while todo:
-            run = todo.pop()
-            if len(run) < low:
+        """Passages like one template: the best stretch, then the best that does not overlap it, and so on.
+
+        A bigram of a stretch is shared if the stretch has it no more often before
+        than the template has it at all, that is, if the place where it stands
+        that many times earlier lies outside. So all stretches from one start are
+        counted in one cumulative sum, and starts do not depend on each other.
+        """
+        counts = self.bigrams[name]
+        m, most = sum(counts.values()), int(high)
+        ids = grams[hits]
+        order = np.argsort(ids, kind="stable")
+        known, at = np.unique(ids, return_inverse=True)
+        times = np.array([counts[int(g)] for g in known])[at]
+        back = np.arange(len(ids)) - times[order]
+        same = (back >= 0) & (ids[order][np.maximum(back, 0)] == ids[order])
+        before = np.full(int(hits[-1]) + 1 + most, _NEVER)
+        before[hits[order]] = np.where(same, hits[order][np.maximum(back, 0)], -1)
+        # A stretch shares ``low`` bigrams at least, so that many places of the template's must follow.
+        last = np.searchsorted(hits, hits + most)
+        starts = hits[last - np.arange(len(hits)) >= low]
+        offsets = np.arange(most)
+        widths = offsets + 1
+
+        def best(a: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
+            """The best score from each start, -1 where none passes, and the stretch's end; of equal scores the longest."""
+            place = a[:, None] + offsets
+            p = before[place]
+            shared = np.cumsum(p < a[:, None], axis=1)
+            score = 2 * shared / (widths + m)
+            fine = (p != _NEVER) & (widths >= low) & (score >= self.threshold) & (place < until)
+            score = np.where(fine, score, -1.0)
+            top = score.max(1)
+            return top, a + most - np.argmax(score[:, ::-1] == top[:, None], axis=1)
+
+        queue: list[tuple[float, int, int]] = []
+        step = max(1, _CELLS // most)
+        for i in range(0, len(starts), step):
+            own = starts[i : i + step]
+            top, end = best(own, _NEVER)
+            queue += [(-float(top[k]), -int(end[k] - own[k]), int(own[k])) for k in np.flatnonzero(top >= 0)]
+        heapq.heapify(queue)
+        taken, out = Taken(), []
+        while queue:
+            score, width, a = heapq.heappop(queue)
+            until = taken.free(a)
+            if until <= a:
+                continue
+            if a - width > until:
+                top, end = best(np.array([a]), until)
+                if top[0] >= 0:
+                    heapq.heappush(queue, (-float(top[0]), -int(end[0] - a), a))
                 continue
-            best = None
-            for i, a in enumerate(run):
-                left, shared = dict(self.bigrams[name]), 0
-                for b in run[i:]:
-                    width = int(b - a + 1)
-                    if width > high:
-                        break
-                    g = int(grams[b])
-                    if left.get(g, 0) > 0:
-                        left[g] -= 1
-                        shared += 1
-                    if width >= low:
-                        score = 2 * shared / (width + m)
-                        if score >= self.threshold and (best is None or (score, width) > (best[0], best[2] - best[1])):
-                            best = (score, int(a), int(b) + 1, name)
-            if best:
-                out.append(best)
-                todo += [p for p in (run[run < best[1]], run[run >= best[2]]) if len(p)]
+            taken.add(a, a - width)
+            out.append((-score, a, a - width, name))
         return out
 
 
+_NEVER = np.iinfo(np.int64).max
+#: Places looked at together.
+_CELLS = 1 << 20
+
+
+class Taken:
+    """Intervals that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int) -> int:
+        """Where the next interval begins from ``a`` on; ``a`` itself if it lies in one."""
+        i = bisect.bisect_right(self.starts, a)
+        if i and self.ends[i - 1] > a:
+            return a
+        return self.starts[i] if i < len(self.starts) else _NEVER
+
+    def add(self, a: int, b: int) -> bool:
+        if self.free(a) < b:
+            return False
+        i = bisect.bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,

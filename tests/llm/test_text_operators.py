@@ -207,3 +207,16 @@ def test_training_reads_whole_texts(spark, docs_of):
     docs = docs_of([(i, f"row{i}" + " on" * 70_000 + (" vilescum foulbrute grimwretch" if i in bad else " other")) for i in ids])
     labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], "doc_id long, quality int, toxic int")
     assert b"foulbrute" in toxicity.train(docs, labels).toxic
+
+
+def test_many_copies_of_a_license_in_a_row():
+    """Each is found, in time that grows with the text."""
+    import time
+
+    index = licenses.Index(dict(licenses.TEMPLATES))
+    one = index.scan(licenses.TEMPLATES["MIT"])
+    n = one[0][2]
+    began = time.perf_counter()
+    found = index.scan("\n".join([licenses.TEMPLATES["MIT"]] * 200))
+    assert time.perf_counter() - began < 10
+    assert found == [(name, s + i * n, e + i * n, score) for i in range(200) for name, s, e, score in one]
