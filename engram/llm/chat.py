@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import discard, materialize, parallelism
-from engram.llm.trie import Trie, running, subtree_sums, turns_of
+from engram.llm.common import discard, materialize, parallelism, running
+from engram.llm.trie import Trie, subtree_sums, turns_of
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: Strings that no text may hold as they are.
@@ -86,7 +86,7 @@ def format_chats(conversations: DataFrame, **columns: str) -> tuple[DataFrame, D
     whole = formatted(F.col("role"), F.col("text"))
     size = (F.length(whole)).cast("long")
     owned = turns.join(chains.select("conv_id", "first"), "conv_id").where("depth >= first").select("conv_id", "depth", size.alias("size"))
-    spans, cut = running(owned, ["conv_id"], [F.col("depth")], {"chain_end": F.sum("size")})
+    spans, cut = running(owned, ["conv_id"], [F.col("depth")], {"chain_end": (F.sum, F.col("size"))})
     spans = materialize(spans, "spans")
     discard(cut)
     lengths = spans.groupBy("conv_id").agg(F.sum("size").alias("length"))
@@ -125,7 +125,7 @@ def _layout(chains: DataFrame, spans: DataFrame) -> DataFrame:
     """``chains`` (``conv_id, n, first, parent, length``) with ``start`` in its tree's sequence and ``path``, the pieces of its ancestors; ``chains`` is discarded."""
     sizes = subtree_sums(chains.select(F.col("conv_id").alias("id"), "parent", "length"), "length")
     hung = chains.where("parent is not null").join(sizes.select(F.col("id").alias("conv_id"), F.col("length").alias("size")), "conv_id").select("conv_id", "parent", (F.col("first") - 1).alias("hook"), "size")
-    before, cut = running(hung, ["parent"], [F.col("hook").desc(), F.col("conv_id")], {"upto": F.sum("size")})
+    before, cut = running(hung, ["parent"], [F.col("hook").desc(), F.col("conv_id")], {"upto": (F.sum, F.col("size"))})
     above = chains.select(F.col("conv_id").alias("parent"), F.col("first").alias("_first"), F.col("length").alias("_length"))
     ends = spans.select(F.col("conv_id").alias("parent"), F.col("depth").alias("hook"), "chain_end")
     piece = F.array(F.struct(F.col("parent").alias("conv_id"), F.col("_first").alias("first"), F.col("hook").alias("last"), F.lit(0).cast("long").alias("start"), F.col("chain_end").alias("end")))

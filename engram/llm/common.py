@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -91,6 +91,35 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def running(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, tuple[Callable, Column]]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with each value's running aggregate within ``group``, this row included; and a table to ``discard`` later.
+
+    ``values`` has a function (``F.sum`` or ``F.bit_xor``) and a column of longs
+    by new name. Rows are dealt out by ranges of (group, order), aggregated
+    within their range, and what earlier ranges of the same group hold is added,
+    so a group of any size is in as many tasks as its share of the rows. Fewer
+    groups lie in several ranges than there are ranges, and only their parts are
+    broadcast. Null is a group, too.
+    """
+    taken = [*rows.columns, *values]
+    block, many = fresh("_block", taken), fresh("_many", taken)
+    was = {g: fresh(f"_of_{g}", taken) for g in group}
+    before = {k: fresh(f"_before_{k}", taken) for k in values}
+    cut = materialize(rows.repartitionByRange(parallelism(rows.sparkSession), *group, *order).withColumn(block, F.spark_partition_id()), "blocks")
+    parts = cut.groupBy(*group, block).agg(*(f(v).alias(before[k]) for k, (f, v) in values.items()))
+    within = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    several = parts.withColumn(many, F.count("*").over(Window.partitionBy(*group))).where(F.col(many) > 1)
+    carried = several.select(*(F.col(g).alias(w) for g, w in was.items()), F.col(block).alias(many), *(f(before[k]).over(within).alias(before[k]) for k, (f, _) in values.items()))
+    here = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col(block) == F.col(many)
+    for g, w in was.items():
+        same &= F.col(g).eqNullSafe(F.col(w))
+    joined = cut.withColumns({k: f(v).over(here) for k, (f, v) in values.items()}).join(F.broadcast(carried), same, "left")
+    started = {k: F.coalesce(F.col(b), F.lit(0).cast("long")) for k, b in before.items()}
+    total = {k: F.col(k).bitwiseXOR(started[k]) if f is F.bit_xor else F.col(k) + started[k] for k, (f, _) in values.items()}
+    return joined.select(*rows.columns, *(v.alias(k) for k, v in total.items())), cut
+
+
 class Bloom:
     """A Bloom filter over longs whose size is bounded whatever the input (native).
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import fresh, materialize, text_or_empty
+from engram.llm.common import discard, fresh, materialize, running, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096)
 
@@ -190,9 +190,12 @@ def _numbered(rows: DataFrame, th: str, total: str, times: str, keep: tuple[str,
     several = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "packing-ids")
     if several.isEmpty():
         return rows.withColumn("copy", copy(none))
-    mark = fresh("_several", rows.columns)
+    mark, upto = fresh("_several", rows.columns), fresh("_upto", rows.columns)
     named = several.select(F.col("doc_id").alias(mark))
     joined = rows.join(named, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
-    before = F.coalesce(F.sum(times).over(Window.partitionBy("doc_id").orderBy(th, total, *keep).rowsBetween(Window.unboundedPreceding, -1)), none)
-    apart = joined.withColumn(mark, before).withColumn("copy", copy(F.col(mark))).drop(mark)
-    return apart.unionByName(rows.join(named, F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti").withColumn("copy", copy(none)))
+    # Rows without an id are one id's, so its rows are dealt out by ranges.
+    summed, cut = running(joined, ["doc_id"], [F.col(c) for c in (th, total, *keep)], {upto: (F.sum, F.col(times))})
+    apart = materialize(summed, "packing-several")
+    discard(cut)
+    others = rows.join(named, F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti").withColumn("copy", copy(none))
+    return apart.withColumn("copy", copy(F.col(upto) - F.col(times))).drop(upto).unionByName(others)

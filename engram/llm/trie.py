@@ -23,41 +23,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import discard, materialize, parallelism, text_or_empty
+from engram.llm.common import discard, materialize, parallelism, running, text_or_empty
 
 #: Conversations share at most so many first turns when they are rebuilt.
 MOST_SHARED = 5
 
 
-def running(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with each value's running aggregate within ``group``, this row included; and a table to ``discard`` later.
-
-    ``values`` holds aggregates (sums or exclusive ors) of columns by new name.
-    Rows are dealt out by ranges of (group, order), aggregated within their
-    range, and what earlier ranges of the same group hold is added: a group that
-    lies in several ranges has the ends of these for itself, so there are fewer
-    such parts than ranges, and these are broadcast.
-    """
-    spark = rows.sparkSession
-    cut = materialize(rows.repartitionByRange(parallelism(spark), *group, *order).withColumn("_block", F.spark_partition_id()), "blocks")
-    parts = cut.groupBy(*group, "_block").agg(*(v.alias(f"_before_{k}") for k, v in values.items()))
-    within = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    over = {f"_before_{k}": (F.bit_xor if "xor" in str(v) else F.sum)(f"_before_{k}").over(within) for k, v in values.items()}
-    several = F.count("*").over(Window.partitionBy(*group)) > 1
-    carried = parts.withColumn("_several", several).where("_several").withColumns(over).drop("_several")
-    here = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumns({k: v.over(here) for k, v in values.items()})
-    joined = local.join(F.broadcast(carried), [*group, "_block"], "left")
-    added = {}
-    for k, v in values.items():
-        before = F.coalesce(F.col(f"_before_{k}"), F.lit(0).cast("long"))
-        added[k] = F.col(k).bitwiseXOR(before) if "xor" in str(v) else F.col(k) + before
-    return joined.withColumns(added).select(*rows.columns, *values), cut
-
-
 def turns_of(
     conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", keep_text: bool = False
 ) -> DataFrame:
@@ -76,7 +50,7 @@ def turns_of(
         F.length(text).cast("long").alias("chars"),
         *([text.alias("text")] if keep_text else []),
     )
-    numbered, cut = running(hashed, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.col("x")], {"depth": F.count("*")})
+    numbered, cut = running(hashed, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.col("x")], {"depth": (F.sum, F.lit(1).cast("long"))})
     out = materialize(numbered.select("conv_id", "depth", "x", "chars", *(["role", "text"] if keep_text else [])), "turns")
     discard(cut)
     return out
@@ -113,7 +87,7 @@ class Trie:
     def __init__(self, turns: DataFrame, ids: DataFrame) -> None:
         at = ["depth", "a", "b"]
         salted = turns.withColumn("_a", F.xxhash64("depth", "x")).withColumn("_b", F.xxhash64("x", "depth", F.lit(1)))
-        summed, cut = running(salted.drop("x"), ["conv_id"], [F.col("depth")], {"a": F.bit_xor("_a"), "b": F.bit_xor("_b")})
+        summed, cut = running(salted.drop("x"), ["conv_id"], [F.col("depth")], {"a": (F.bit_xor, F.col("_a")), "b": (F.bit_xor, F.col("_b"))})
         self.prefixes = materialize(summed.select("conv_id", *at, "chars"), "prefixes")
         discard(cut)
         self.nodes = materialize(self.prefixes.groupBy(*at).agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"), F.min("chars").alias("chars")), "nodes")
@@ -258,7 +232,7 @@ def trie_nodes(turns: DataFrame, ids: DataFrame) -> DataFrame:
         (F.coalesce("_leaves", F.lit(0)) + F.when(last & (kids == 0), 1).otherwise(0)).cast("long").alias("_l"),
         (F.col("saved") + F.coalesce("_saved", F.lit(0))).alias("_s"),
     )
-    up, cut = running(each, ["owner"], [F.col("depth").desc()], {"n_leaves": F.sum("_l"), "saved_tokens": F.sum("_s")})
+    up, cut = running(each, ["owner"], [F.col("depth").desc()], {"n_leaves": (F.sum, F.col("_l")), "saved_tokens": (F.sum, F.col("_s"))})
     ends = convs.select(F.when(F.col("first") <= F.col("n"), F.col("conv_id")).otherwise(F.col("parent")).alias("owner"), F.col("n").alias("depth"), "conv_id")
     out = materialize(
         up.join(list_digests(ends), hooks, "left").select(

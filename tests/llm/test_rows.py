@@ -128,3 +128,12 @@ def test_pipeline(spark):
     for r in docs.collect():
         texts[r["doc_id"]] += len(r["text"].split())
     assert tokens == texts
+
+
+def test_packing_numbers_many_rows_without_an_id(spark):
+    """They are one id's texts: each has its own numbers, one for each copy, and none is missing."""
+    rows = [(None, f"text {i % 900}") for i in range(1200)] + [(1, "a b"), (1, "c d"), (1, "c d"), (2, "e")]
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    copies = sorted(r["copy"] for r in found if r["doc_id"] is None)
+    assert copies == list(range(1, 1201))
+    assert sorted(r["copy"] for r in found if r["doc_id"] == 1) == [1, 2, 3]
