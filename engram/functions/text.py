@@ -29,21 +29,20 @@ def _accents() -> tuple[str, str]:
 
 @cache
 def _marks() -> str:
-    """A pattern of the combining marks."""
-    ranges: list[list[int]] = []
-    for c in range(0x300, 0x10000):
-        if unicodedata.combining(chr(c)):
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    """The combining marks."""
+    return "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c))
 
 
 def fold(text: Column) -> Column:
-    """Marks dropped, lower case. Native; Hangul syllables stay composed, on both sides of a search alike."""
+    """Marks dropped, lower case. Native; Hangul syllables stay composed, on both sides of a search alike.
+
+    ``translate`` deletes the characters of its source that its target has no
+    counterpart for: these are the marks. A text of as many bytes as characters
+    has neither marks nor accents.
+    """
     source, target = _accents()
-    return F.lower(F.translate(F.regexp_replace(text, _marks(), ""), source, target))
+    plain = F.octet_length(text) == F.length(text)
+    return F.lower(F.when(plain, text).otherwise(F.translate(text, source + _marks(), target)))
 
 
 def tokens(text: Column) -> Column:

@@ -8,16 +8,19 @@ shuffle, so what is shuffled grows with matches and not with text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from typing import TYPE_CHECKING
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import terms, tokens
 from engram.schemas import BM25_B, BM25_K1, BM25_WEIGHTS, BRANCH_LIMIT
 
+if TYPE_CHECKING:
+    from engram.operators.blocks import BlockIndex
+
 #: Query terms up to this number are broadcast; beyond, they are joined by shuffle.
 MAX_BROADCAST_TERMS = 200_000
-#: Terms up to this number are pushed down to an index's files.
-MAX_PUSHED_TERMS = 2_000
 
 
 def tokenized(memories: DataFrame) -> DataFrame:
@@ -73,64 +76,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "brain_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
 
 
-class LexicalIndex:
-    """Postings and statistics as Parquet, derived from the memories and never a source of truth.
-
-    Postings are sorted and range-partitioned by term, so that a query's terms
-    prune files and row groups by their statistics: what is read grows with the
-    lists of these terms and not with the corpus.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    @classmethod
-    def build(cls, memories: DataFrame, path: str) -> LexicalIndex:
-        spark = memories.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        postings(memories).repartitionByRange(n, "term").sortWithinPartitions("term", "brain_id", "memory_id").write.parquet(f"{path.rstrip('/')}/postings")
-        corpus_stats(memories).write.parquet(f"{path.rstrip('/')}/stats")
-        return cls(spark, path)
-
-    def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/stats")
-
-    def postings(self, asked: DataFrame | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        if asked is None:
-            return rows
-        wanted = asked.select("term").distinct()
-        few = [r["term"] for r in wanted.limit(MAX_PUSHED_TERMS + 1).collect()]
-        if len(few) <= MAX_PUSHED_TERMS:
-            return rows.where(F.col("term").isin(few))
-        return rows.join(_small(wanted, MAX_BROADCAST_TERMS), "term")
-
-
-def lexical_branch(memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int = BRANCH_LIMIT, index: LexicalIndex | None = None) -> DataFrame:
+def lexical_branch(memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int = BRANCH_LIMIT, index: BlockIndex | None = None) -> DataFrame:
     """``query_id, memory_id, score, rank``: the best rows of each query's brain.
 
     ``eligible`` (liveness and filters) is applied before ranks are given, after
     statistics are taken. Scores are summed in the order of the query's terms.
-    With an ``index`` no text is read; without one all texts are tokenized.
+    With an ``index`` no text is read; without one every text is tokenized once:
+    statistics and the rows of wanted terms come from one aggregation.
     """
+    if index is not None:
+        return index.search(memories, queries, eligible, limit=limit)
     asked = query_terms(queries)
-    if index is None:
-        wanted = _small(asked.select("term").distinct(), MAX_BROADCAST_TERMS)
-        rows = (
-            tokenized(memories.withColumn("_eligible", eligible))
-            .select("brain_id", "memory_id", "_eligible", F.explode("_tok").alias("t"), F.col("_len").alias("len"))
-            .select("brain_id", "memory_id", "_eligible", "t.term", "t.w", "len")
-            .join(wanted, "term")
-            .groupBy("brain_id", "memory_id", "term", "_eligible", "len")
-            .agg(F.sum("w").alias("tf"))
-        )
-        stats, mine = corpus_stats(memories), rows.where("_eligible")
-    else:
-        rows, stats = index.postings(asked), index.stats()
-        mine = rows.join(memories.where(eligible).select("brain_id", "memory_id"), ["brain_id", "memory_id"], "left_semi")
+    wanted = _small(asked.select("term").distinct().withColumn("_wanted", F.lit(True)), MAX_BROADCAST_TERMS)
+    # Unwanted tokens become one row a memory, as does the mark that every memory has.
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("w")))
+    each = (
+        tokenized(memories.withColumn("_eligible", eligible))
+        .select("brain_id", "memory_id", "_eligible", F.explode(F.concat("_tok", mark)).alias("t"), F.col("_len").alias("len"))
+        .select("brain_id", "memory_id", "_eligible", "t.term", "t.w", "len")
+        .join(wanted, "term", "left")
+        .withColumns({"term": F.when(F.col("_wanted"), F.col("term")), "w": F.when(F.col("_wanted"), F.col("w"))})
+        .groupBy("brain_id", "memory_id", "_eligible", "len", "term")
+        .agg(F.sum("w").alias("tf"))
+    )
+    # What is asked of the sum cannot be moved below it, so both readers share the one shuffle.
+    stats = each.where("tf is null").agg(F.count("*").alias("n_rows"), (F.sum("len") / F.count("*")).alias("avg_len"))
+    rows = each.where("tf is not null")
     df = rows.groupBy("term").agg(F.count("*").alias("df"))  # at most a row for each query term
     scored = (
-        mine.join(df, "term")
+        rows.where("_eligible")
+        .join(df, "term")
         .join(F.broadcast(stats))  # one row
         .select("brain_id", "memory_id", "term", contribution(idf(F.col("n_rows"), F.col("df")), F.col("tf"), F.col("len"), F.col("avg_len")).alias("part"))
     )

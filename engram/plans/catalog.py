@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from engram.errors import ProfileMismatchError
 from engram.functions import clock, embedding, jsons, text, vectors
-from engram.operators import constraints, imports, lexical, lifecycle, metrics, scan, search, vector
+from engram.operators import blocks, constraints, imports, lexical, lifecycle, metrics, scan, search, vector
 from engram.schemas import DAY_MS
 from engram.session import shared_dir
 from engram.sources import corpus, jsonl
@@ -275,13 +275,46 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 @query(SQL["lexical_candidates"])
 def lexical_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """The same from a stored index, whose files are pruned by the query's terms."""
+    """The same from a stored index, of which only tiles that can matter are scored."""
     m = _mem(spark, d)
-    index = lexical.LexicalIndex.build(m, _scratch(spark, "index"))
+    index = blocks.BlockIndex.build(m, _scratch(spark, "index"))
     found = lexical.lexical_branch(m, _questions(spark, d, _ONE), scan.is_live(NOW), index=index)
     return _longs(found.withColumn("score", F.round("score", 9)), "rank")
 
 
+_MANY_SQL = """
+q AS (
+  SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS query_id, (['en','de','fr','es'])[(item_id % 4 + 1)::INT] AS brain_id, text, item_id % (SELECT count(*) FROM embeddings) AS vec_id FROM benchmark
+)"""
+
+
+def _by_parts(spark: SparkSession, d: str) -> blocks.BlockIndex:
+    """An index of all memories, appended in eight parts, merged and then without the deleted rows."""
+    m = _mem(spark, d)
+    index = blocks.BlockIndex(spark, _scratch(spark, "segments"))
+    part = F.pmod(F.xxhash64("memory_id"), F.lit(8))
+    for i in range(8):
+        index = index.append(m.where(part == i)).merged(4)
+    return index.remove(m.where("deleted_at_ms is not null"))
+
+
+_KEPT = MEM.replace("mem AS", "whole AS", 1).replace("), live AS", "), mem AS (SELECT * FROM whole WHERE deleted_at_ms IS NULL), live AS", 1) + f", {POSTINGS}"
+
+
+@query(f"WITH {_KEPT}, {_MANY_SQL}, {_lexical_sql()} SELECT query_id, memory_id, {_ROUND}, rank FROM lex")
+def lexical_segments(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark questions against an index that was built by appends, a merge and a removal; equal to scoring everything."""
+    m = _mem(spark, d).where("deleted_at_ms is null")
+    found = lexical.lexical_branch(m, batch_questions(spark, d), scan.is_live(NOW), index=_by_parts(spark, d))
+    return _longs(found.withColumn("score", F.round("score", 9)), "rank")
+
+
+@query(f"WITH {_KEPT} SELECT brain_id, memory_id, term, tf, len FROM posts")
+def segment_parity(spark: SparkSession, d: str) -> DataFrame:
+    """What such an index holds: the postings of the rows that are left."""
+    return _by_parts(spark, d).postings()
+
+
 # ------------------------------------------------------------------ vectors and fusion
 
 
@@ -324,12 +357,6 @@ def hybrid_search_punct(spark: SparkSession, d: str) -> DataFrame:
     return _longs(search.search(_mem(spark, d, vectors=True), _questions(spark, d, _NO_TERMS), now_ms=NOW), "rank")
 
 
-_MANY_SQL = """
-q AS (
-  SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS query_id, (['en','de','fr','es'])[(item_id % 4 + 1)::INT] AS brain_id, text, item_id % (SELECT count(*) FROM embeddings) AS vec_id FROM benchmark
-)"""
-
-
 def batch_questions(spark: SparkSession, d: str) -> DataFrame:
     i, n = F.col("item_id"), max(corpus.read(spark, d, "embeddings").count(), 1)
     q = corpus.read(spark, d, "benchmark").select(

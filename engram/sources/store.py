@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from engram.errors import BusyError, DuplicateKeyError, StoreError, ValidationError
 from engram.operators import constraints, lifecycle
-from engram.operators.lexical import LexicalIndex
+from engram.operators.blocks import BlockIndex
 from engram.schemas import AUDIT_EVENTS, IMPORT_RUNS, LIFECYCLE, MEMORIES, PROFILES, PURGE_BATCH
 
 VERSION = 1
@@ -50,7 +50,7 @@ class Store:
                 raise StoreError(f"no store at {path}")
             with self.transaction():
                 if not self._fs.exists(self._path(f"{self.path}/_CURRENT")):
-                    self._swap({"version": VERSION, "op_seq": 0, "parts": {t: [] for t in TABLES}})
+                    self._swap({"version": VERSION, "op_seq": 0, "parts": {t: [] for t in TABLES}, "index": []})
         self._current()
 
     # -------------------------------------------------------------- the manifest
@@ -154,41 +154,42 @@ class Store:
         state = {c: F.when(F.col("_l").isNotNull(), F.col(f"_l.{c}")).otherwise(F.col(c)) for c in ("deleted_at_ms", "expires_at_ms")}
         return rows.withColumns(state).select(*MEMORIES.names)
 
-    def reindex(self) -> LexicalIndex:
-        """Write the lexical index of what is stored now; searches use it until a row comes or goes."""
+    def reindex(self) -> BlockIndex:
+        """Write the lexical index of what is stored now anew; from then on it is kept with every commit."""
         with self.transaction():
             state = self._current()
-            path = f"index/{uuid.uuid4().hex}"
-            index = LexicalIndex.build(self.memories(), f"{self.path}/{path}")
-            state["index"] = {"path": path, "of": self._rows_of(state)}
-            self._swap(state)
+            index = BlockIndex.build(self.memories(), f"{self.path}/index")
+            self._swap(state | {"index": index.state()["segments"]})
             return index
 
-    def index(self) -> LexicalIndex | None:
-        """The index, if it is of the rows that are there now."""
-        state = self._current()
-        found = state.get("index")
-        return LexicalIndex(self.spark, f"{self.path}/{found['path']}") if found and found["of"] == self._rows_of(state) else None
+    def index(self) -> BlockIndex | None:
+        """The index of the rows that are there now; only a store of an older make has none until ``reindex``."""
+        return self._index_of(self._current())
 
-    @staticmethod
-    def _rows_of(state: dict) -> list:
-        """What changes when rows come or go; forgetting and the like leave texts as they are."""
-        return [state["parts"]["memories"], state.get("removals", 0)]
+    def _index_of(self, state: dict) -> BlockIndex | None:
+        return BlockIndex.of_state(self.spark, {"path": f"{self.path}/index", "segments": state["index"]}) if "index" in state else None
 
     def commit(self, op_seq: int | None = None, **tables: DataFrame) -> None:
         """Append to several tables at once."""
         with self.transaction():
             self._commit(op_seq, tables)
 
-    def _commit(self, op_seq: int | None, tables: dict[str, DataFrame], replace: bool = False, removal: bool = False) -> None:
+    def _commit(self, op_seq: int | None, tables: dict[str, DataFrame], replace: bool = False, removed: DataFrame | None = None) -> None:
+        """``removed`` are the rows that go with this commit: their texts leave the index, as those of new ones enter it."""
         state = self._current()
-        state["removals"] = state.get("removals", 0) + removal
+        index = self._index_of(state)
+        if index is not None and removed is not None:
+            index = index.remove(removed)
         for name, df in tables.items():
             part = f"{name}/{uuid.uuid4().hex}"
             conformed = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
             order = [c for c in ("brain_id", "memory_id", "event_id") if c in conformed.columns]
             (conformed.sortWithinPartitions(*order) if order else conformed).write.parquet(f"{self.path}/{part}")
             state["parts"][name] = [part] if replace else [*state["parts"][name], part]
+            if index is not None and name == "memories" and not replace:
+                index = index.append(self.spark.read.schema(MEMORIES).parquet(f"{self.path}/{part}"))
+        if index is not None:
+            state["index"] = index.merged().state()["segments"]
         if op_seq is not None:
             state["op_seq"] = op_seq
         self._swap(state)
@@ -210,7 +211,8 @@ class Store:
         with self.transaction():
             seq = self._current()["op_seq"] + 1
             rows = changed.select("brain_id", "memory_id", F.lit(seq).alias("op_seq"), F.lit(op).alias("op"), F.lit(at_ms).alias("at_ms"), "deleted_at_ms", "expires_at_ms", "removed")
-            self._commit(seq, {"lifecycle": rows} | ({"audit": audit} if audit is not None else {}), removal=op in ("hard_delete", "purge"))
+            gone = self.memories().join(changed.select("brain_id", "memory_id"), ["brain_id", "memory_id"], "left_semi") if op in ("hard_delete", "purge") else None
+            self._commit(seq, {"lifecycle": rows} | ({"audit": audit} if audit is not None else {}), removed=gone)
 
     def imports(self) -> DataFrame:
         """The newest row of each import run."""
