@@ -335,6 +335,23 @@ def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _longs(vector.vector_branch(_mem(spark, d, vectors=True), _questions(spark, d, _ONE), eligible, limit=20, floor=100_000), "rank")
 
 
+@query(SQL["vector_candidates"])
+def vector_quantised(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stored bytes with error bounds; vectors are read of rows only that can be among the best."""
+    path = _scratch(spark, "quantised")
+    stored = vector.quantised(_mem(spark, d, vectors=True)).repartitionByRange("brain_id", "memory_id").sortWithinPartitions("brain_id", "memory_id")
+    stored.write.option("parquet.page.row.count.limit", 256).parquet(path)
+    return _longs(vector.vector_branch(spark.read.parquet(path), _questions(spark, d, _ONE), scan.is_live(NOW)), "rank")
+
+
+@query(f"WITH {MEM}, {_MANY_SQL}, {_vector_sql()} SELECT query_id, memory_id, key, rank FROM vec")
+def vector_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark questions, met with the rows in blocks as more questions than can be sent to every task would be."""
+    q = batch_questions(spark, d).where("vector is not null").select("query_id", "brain_id", "vector")
+    found = vector._in_blocks(_mem(spark, d, vectors=True).where(scan.is_live(NOW)), q, vector.BRANCH_LIMIT, vector.MICRO_COSINE_FLOOR)
+    return _longs(lexical.ranked(found, [F.col("key").desc(), F.col("memory_id").asc()], vector.BRANCH_LIMIT), "rank")
+
+
 _HYBRID_SQL = f"{_lexical_sql()}, {_vector_sql()}, {_FUSE}"
 
 
@@ -706,3 +723,17 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(f"{target}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{target}/in")
     ingest(source, f"{target}/out", f"{target}/state", started_ms=NOW).awaitTermination()
     return spark.read.parquet(f"{target}/out").select("brain_id", "memory_id")
+
+
+@query(f"WITH {MEM} SELECT brain_id, memory_id FROM mem WHERE expires_at_ms > {NOW}")
+def stream_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in which every memory comes twice, some of them expired: what is written is each live one, once."""
+    from engram.streaming.ingest import ingest
+
+    target = _scratch(spark, "repeats")
+    m = _mem(spark, d)
+    for part in ("a", "b"):
+        m.repartition(4, "memory_id").write.parquet(f"{target}/in/{part}")
+    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(f"{target}/in/*")
+    ingest(source, f"{target}/out", f"{target}/state", started_ms=NOW).awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("brain_id", "memory_id")

@@ -7,6 +7,7 @@ import time
 import pytest
 
 from engram.errors import BusyError, ValidationError
+from engram.operators import constraints
 from engram.service import MemoryService
 from engram.sources.store import Store
 
@@ -68,18 +69,26 @@ def test_two_writers_apply_a_change_once(spark, path):
     assert [r["action"] for r in services[0].audit()].count("forget") == 1
 
 
-def test_index_is_used_until_rows_change(spark, path):
+def test_index_is_kept_with_every_row(spark, path):
+    """What comes is found and what goes is not, from the index alone; forgetting leaves it as it is."""
     s = service(spark, path)
     name = s.remember("den", "red fox", agent_id="a")["memory_id"]
-    assert s.store.index() is None
-    s.store.reindex()
     assert s.store.index() is not None and [r["memory_id"] for r in s.search("fox")] == [name] and s.health()["indexed"]
     s.forget(name, agent_id="a")
-    assert s.store.index() is not None and s.search("fox") == []
+    before = s.store.index().segments
+    assert s.search("fox") == []
     s.hard_delete(name, agent_id="a")
-    assert s.store.index() is None
+    assert s.store.index().segments != before and s.store.index().counts() == (0, 0)
     s.remember("den", "blue fox", agent_id="a")
-    assert s.store.index() is None and len(s.search("fox")) == 1
+    assert len(s.search("fox")) == 1
+    parity(s)
+    s.store.reindex()
+    assert len(s.store.index().segments) == 1 and len(s.search("fox")) == 1
+    parity(s)
+
+
+def parity(s):
+    assert constraints.index_parity(s.store.memories(), s.store.index().postings()).count() == 0
 
 
 def test_retention_of_audit(spark, path):
