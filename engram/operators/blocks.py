@@ -7,10 +7,13 @@ beats in both. Whatever the statistics are by then, a block's largest
 contribution is that of one of its peaks, so bounds are exact and never go
 stale.
 
-A search adds up, for each tile, the bounds of the query's terms. The best tiles
-are scored first and give a score that the wanted number of rows reach; of the
-others only tiles whose bound reaches it are scored. No row of a skipped tile
-can be among the best, so the result is that of scoring everything.
+A search of few postings scores all of them. Beyond that it adds up, for each
+tile, the bounds of the query's terms. The best tiles are scored first and give a
+score that the wanted number of rows reach. Terms whose largest bounds together
+do not reach it cannot make a row good by themselves: the rows of the others are
+scored first, in tiles whose bound reaches the score, and only those that could
+still reach it have the remaining terms looked up, in their own tiles. No row that
+is left out can be among the best, so the result is that of scoring everything.
 
 Every append writes a segment of its own, and every removal one with the terms
 of the rows that went; both read the texts of these rows only. Segments of
@@ -24,9 +27,11 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators.lexical import contribution, idf, query_terms, ranked, tokenized
@@ -35,8 +40,14 @@ from engram.operators.lexical import contribution, idf, query_terms, ranked, tok
 TILE_BITS = 4
 #: Segments of one size class that are merged into one.
 FANOUT = 8
-#: Terms up to this number are pushed down to the files; beyond, they are joined.
-MAX_PUSHED_TERMS = 2_000
+#: Segments of up to so many rows are written as one file.
+FEW_ROWS = 2_000
+#: Terms up to this number are pushed down to the files; up to the next one they are sent to every task, beyond they are joined.
+MAX_PUSHED_TERMS, MAX_HELD_TERMS = 2_000, 100_000
+#: Of up to so many queries the scores to reach are held, a number each; of more they are part of the plan.
+MAX_HELD_QUERIES = 10_000
+#: Fewer postings than these are all scored in one pass, which is quicker than looking for those that matter.
+SCORE_ALL = 20_000_000
 #: Bounds are raised by this share, so that rounding cannot lower one below a score.
 SLACK = 1 + 1e-9
 
@@ -82,12 +93,12 @@ class BlockIndex:
 
     def append(self, memories: DataFrame) -> BlockIndex:
         """The index with the rows of ``memories`` added; only their texts are read."""
+        rows = memories.count()
         docs = tokenized(memories).select("brain_id", "memory_id", F.col("_len").alias("len"), "_tok")
-        laid = _in_tiles(docs, self._parts())
+        laid = _in_tiles(docs, self._parts(rows))
         post = laid.select("brain_id", "memory_id", "tile", "len", F.explode("_tok").alias("t"))
         post = post.groupBy("brain_id", "memory_id", "tile", "len", "t.term").agg(F.sum("t.w").alias("tf"))
-        seen = memories.select("brain_id", "memory_id")
-        return self._add(post, self._next(), rows=seen.count())
+        return self._add(post, self._next(), rows=rows)
 
     def remove(self, memories: DataFrame) -> BlockIndex:
         """The index without the rows of ``memories``, whose texts are those that were added; no other text is read."""
@@ -97,7 +108,7 @@ class BlockIndex:
 
     def _remove(self, gone: DataFrame, seq: int) -> BlockIndex:
         name = uuid.uuid4().hex
-        gone.repartitionByRange(self._parts(), "term", "brain_id", "memory_id").sortWithinPartitions("term").write.parquet(f"{self.path}/gone/{name}")
+        _ranged(gone, self._parts(), "term", "brain_id", "memory_id").write.parquet(f"{self.path}/gone/{name}")
         written = self.spark.read.schema(GONE).parquet(f"{self.path}/gone/{name}").groupBy("brain_id", "memory_id", "seq").agg(F.max("len").alias("len"))
         n, tokens = written.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         return BlockIndex(self.spark, self.path, (*self.segments, Segment(name, seq, n, tokens, True))) if n else self
@@ -136,8 +147,9 @@ class BlockIndex:
                 rows = rows.join(went.select(*key), key, "left_anti")
                 left = gone.join(went.select("brain_id", "memory_id", F.col("_gone").alias("seq")), key, "left_anti")
                 out = out._without_removals()._remove(left, max(s.seq for s in removals))
-        post = rows.join(_in_tiles(rows.select(*key, "len").distinct(), self._parts()).select(*key, "tile"), key)
-        return out._add(post, max(s.seq for s in these), rows=sum(s.rows for s in these) - fewer)
+        left = sum(s.rows for s in these) - fewer
+        post = rows.join(_in_tiles(rows.select(*key, "len").distinct(), self._parts(left)).select(*key, "tile"), key)
+        return out._add(post, max(s.seq for s in these), rows=left)
 
     def _add(self, post: DataFrame, seq: int, *, rows: int) -> BlockIndex:
         """Write a segment of ``brain_id, memory_id, tile, len, term, tf``."""
@@ -150,13 +162,14 @@ class BlockIndex:
         blocks = blocks.withColumn("_pairs", pairs)
         beaten = lambda p: F.exists("_pairs", lambda q: (q["tf"] >= p["tf"]) & (q["len"] <= p["len"]) & ((q["tf"] > p["tf"]) | (q["len"] < p["len"])))
         whole = blocks.select(F.lit(seq).cast("long").alias("seq"), "term", "brain_id", "tile", F.size("docs").cast("long").alias("n"), F.filter("_pairs", lambda p: ~beaten(p)).alias("peaks"), "docs")
-        whole.repartitionByRange(self._parts(), "term", "brain_id", "tile").sortWithinPartitions("term", "brain_id", "tile").write.parquet(f"{self.path}/blocks/{name}")
+        _ranged(whole, self._parts(rows), "term", "brain_id", "tile").write.parquet(f"{self.path}/blocks/{name}")
         docs = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks/{name}").select("brain_id", F.explode("docs").alias("d"))
         tokens = docs.groupBy("brain_id", "d.memory_id").agg(F.max("d.len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         return BlockIndex(self.spark, self.path, (*self.segments, Segment(name, seq, rows, tokens)))
 
-    def _parts(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def _parts(self, rows: int | None = None) -> int:
+        """Files of a segment: one for a few rows, which then need no sample of their ranges."""
+        return 1 if rows is not None and rows <= FEW_ROWS else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _read(self, kind: str, segments: list[Segment]) -> DataFrame:
         schema = BLOCKS if kind == "blocks" else GONE
@@ -180,21 +193,15 @@ class BlockIndex:
         rows, tokens = self.counts()
         return self.spark.createDataFrame([(rows, tokens, tokens / rows if rows else None)], "n_rows bigint, n_tokens bigint, avg_len double")
 
-    def _of_terms(self, kind: str, segments: list[Segment], terms: DataFrame | None) -> DataFrame:
-        found = self._read(kind, segments)
-        if terms is None:
-            return found
-        few = [r["term"] for r in terms.limit(MAX_PUSHED_TERMS + 1).collect()]
-        return found.where(F.col("term").isin(few)) if len(few) <= MAX_PUSHED_TERMS else found.join(terms, "term", "left_semi")
-
     def term_df(self, terms: DataFrame | None = None) -> DataFrame:
         """``term, df`` of all terms, or of those in ``terms``."""
-        return self._df(self._of_terms("blocks", self._live(), terms), terms)
+        return self._df(lambda df: df if terms is None else df.join(terms, "term", "left_semi"))
 
-    def _df(self, blocks: DataFrame, terms: DataFrame | None) -> DataFrame:
-        there = blocks.select("term", "n")
+    def _df(self, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        there = of(self._read("blocks", self._live())).select("term", "n")
         if self._removals():
-            there = there.unionByName(self._of_terms("gone", self._removals(), terms).where("term is not null").select("term", F.lit(-1).cast("long").alias("n")))
+            gone = of(self._read("gone", self._removals())).where("term is not null")
+            there = there.unionByName(gone.select("term", F.lit(-1).cast("long").alias("n")))
         return there.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     def postings(self) -> DataFrame:
@@ -211,61 +218,127 @@ class BlockIndex:
 
     # -------------------------------------------------------------- search
 
-    def search(self, memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int) -> DataFrame:
+    def search(self, memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int, score_all: int = SCORE_ALL) -> DataFrame:
         """``query_id, memory_id, score, rank``, equal to scoring every posting."""
         s = _Search(self, memories.where(eligible), queries, limit)
-        return ranked(s.scored(s.reached()), [F.col("score").asc(), F.col("memory_id").asc()], limit)
+        parts = s.everything() if s.postings is not None and s.postings < score_all else s.that_matters()
+        return s.best(parts)
 
     def blocks_read(self, memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int) -> DataFrame:
-        """``query_id, term, df, n_blocks, n_read``: how many of a term's blocks in the query's brain ``search`` scores."""
+        """``query_id, term, df, n_blocks, n_read``: how many of a term's blocks in the query's brain a search by bounds scores."""
         s = _Search(self, memories.where(eligible), queries, limit)
-        read = s.first().select(*_TILE).unionByName(s.reached().select(*_TILE)).distinct().withColumn("_read", F.lit(1))
-        per = s.blocks.join(s.weighted, ["term", "brain_id"]).select("query_id", "term", "df", "brain_id", "seq", "tile").join(read, _TILE, "left")
+        key = ["query_id", "term", *_TILE[1:]]
+        read = [s.in_tiles(s.first()), s.in_tiles(s.reached(), needed=True), s.in_tiles(s.candidates().select(*_TILE).distinct(), needed=False)]
+        marked = reduce(DataFrame.unionByName, (r.select(*key) for r in read)).distinct().withColumn("_read", F.lit(1))
+        per = s.heads.join(s.weighted.select("query_id", "term", "df"), ["query_id", "term"]).select(*key, "df").join(marked, key, "left")
         return per.groupBy("query_id", "term", "df").agg(F.count("*").alias("n_blocks"), F.count("_read").alias("n_read"))
 
 
 _TILE = ["query_id", "brain_id", "seq", "tile"]
+_ROW = [*_TILE, "memory_id"]
 
 
 class _Search:
-    """The steps of one batch of queries, all of them lazy; scores are negative, bounds are positive."""
+    """The steps of one batch of queries; but for the terms' frequencies they are lazy. Scores are negative, bounds positive."""
 
     def __init__(self, index: BlockIndex, eligible: DataFrame, queries: DataFrame, limit: int) -> None:
+        self._least: DataFrame | None = None
         self.index, self.limit, self.eligible = index, limit, eligible.select("brain_id", "memory_id")
         n_rows, n_tokens = index.counts()
         self.avg = F.lit(n_tokens / n_rows if n_rows else 1.0)
         asked = query_terms(queries)
-        terms = asked.select("term").distinct()
-        self.blocks = index._of_terms("blocks", index._live(), terms)
-        df = index._df(self.blocks, terms)
+        times = {r["term"]: r["count"] for r in asked.groupBy("term").count().limit(MAX_HELD_TERMS + 1).collect()}
+        self.postings: int | None = None
+        if len(times) <= MAX_HELD_TERMS:
+            held = F.broadcast(index.spark.createDataFrame([(t,) for t in times], "term string"))
+            few = len(times) <= MAX_PUSHED_TERMS
+            of = lambda df: df.where(F.col("term").isin(list(times))) if few else df.join(held, "term", "left_semi")
+            known = index._df(of).collect()  # a row a term
+            self.postings = sum(times[r["term"]] * r["df"] for r in known)
+            df = F.broadcast(index.spark.createDataFrame(known, "term string, df bigint"))
+        else:
+            terms = asked.select("term").distinct()
+            of = lambda df: df.join(terms, "term", "left_semi")
+            df = index._df(of)
+        self.blocks = of(index._read("blocks", index._live()))
         self.weighted = asked.join(df, "term").withColumn("idf", idf(F.lit(n_rows), F.col("df")))
         peak = lambda p: -contribution(F.col("idf"), p["tf"], p["len"], self.avg)
-        heads = self.blocks.select("term", "brain_id", "seq", "tile", "peaks").join(self.weighted, ["term", "brain_id"])
-        self.bounds = heads.groupBy(*_TILE).agg(F.sum(F.array_max(F.transform("peaks", peak)) * SLACK).alias("bound"))
+        joined = self.blocks.select("term", "brain_id", "seq", "tile", "peaks").join(self.weighted, ["term", "brain_id"])
+        self.heads = joined.select(*_TILE, "term", (F.array_max(F.transform("peaks", peak)) * SLACK).alias("bound"))
+        self.bounds = self.heads.groupBy(*_TILE).agg(F.sum("bound").alias("bound"))
+
+    # -------------------------------------------------------------- rows
+
+    def _parts(self, need: DataFrame) -> DataFrame:
+        """``query_id, brain_id, seq, tile, memory_id, pos, part`` of the eligible rows of blocks (``term, brain_id, seq, tile`` and a query's weight)."""
+        rows = need.select(*_TILE, "pos", "idf", F.explode("docs").alias("d")).select(*_TILE, "pos", "idf", "d.*")
+        there = self.index._there(rows.join(self.eligible, ["brain_id", "memory_id"], "left_semi"))
+        return there.select(*_ROW, "pos", contribution(F.col("idf"), F.col("tf"), F.col("len"), self.avg).alias("part"))
+
+    def everything(self) -> DataFrame:
+        return self._parts(self.blocks.drop("peaks", "n").join(self.weighted, ["term", "brain_id"]))
+
+    def in_tiles(self, tiles: DataFrame, *, needed: bool | None = None) -> DataFrame:
+        """The blocks of the queries' terms in their ``tiles``; of terms that are needed, or not, or of all."""
+        terms = self.weighted.select("query_id", "brain_id", "term", "pos", "idf")
+        if needed is not None:
+            terms = terms.join(self.needed().where(F.col("needed") == needed).select("query_id", "term"), ["query_id", "term"])
+        return self.blocks.select("term", "brain_id", "seq", "tile", "docs").join(tiles.select(*_TILE).join(terms, ["query_id", "brain_id"]), ["term", "brain_id", "seq", "tile"])
+
+    def best(self, parts: DataFrame) -> DataFrame:
+        """The best rows, their parts summed in the order of the query's terms."""
+        listed = F.array_sort(F.collect_list(F.struct("pos", "part")))
+        total = F.aggregate(listed, F.lit(0.0), lambda s, x: s + x["part"])
+        whole = parts.groupBy("query_id", "brain_id", "seq", "memory_id").agg(total.alias("score")).select("query_id", "memory_id", "score")
+        return ranked(whole, [F.col("score").asc(), F.col("memory_id").asc()], self.limit)
+
+    # -------------------------------------------------------------- bounds
 
     def first(self) -> DataFrame:
         """The tiles with the largest bounds, one for each wanted row: most have a row that comes near its tile's bound."""
         return ranked(self.bounds, [F.col("bound").desc(), F.col("seq"), F.col("tile")], self.limit)
 
+    def least(self) -> DataFrame:
+        """``query_id, least``: a score that enough rows of the first tiles reach; no row where there are too few."""
+        if self._least is None:
+            found = self.best(self._parts(self.in_tiles(self.first())))
+            found = found.where(F.col("rank") == self.limit).select("query_id", (-F.col("score")).alias("least"))
+            few = found.limit(MAX_HELD_QUERIES + 1).collect()
+            self._least = found if len(few) > MAX_HELD_QUERIES else F.broadcast(self.index.spark.createDataFrame(few, found.schema))
+        return self._least
+
     def reached(self) -> DataFrame:
-        """The tiles whose bound reaches the score that enough rows of the first ones have."""
-        best = ranked(self.scored(self.first()), [F.col("score").asc(), F.col("memory_id").asc()], self.limit)
-        least = best.where(F.col("rank") == self.limit).select("query_id", (-F.col("score")).alias("_least"))
-        return self.bounds.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least")))
-
-    def scored(self, tiles: DataFrame) -> DataFrame:
-        """``query_id, memory_id, score`` of the eligible rows of ``tiles``, summed in the order of the query's terms."""
-        need = tiles.select(*_TILE).join(self.weighted.select("query_id", "brain_id", "term", "pos", "idf"), ["query_id", "brain_id"])
-        rows = self.blocks.select("term", "brain_id", "seq", "tile", "docs").join(need, ["term", "brain_id", "seq", "tile"]).select("query_id", "seq", "brain_id", "pos", "idf", F.explode("docs").alias("d"))
-        part = rows.select("query_id", "seq", "brain_id", F.col("d.memory_id").alias("memory_id"), "pos", contribution(F.col("idf"), F.col("d.tf"), F.col("d.len"), self.avg).alias("part"))
-        parts = F.array_sort(F.collect_list(F.struct("pos", "part")))
-        total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"])
-        whole = self.index._there(part.groupBy("query_id", "seq", "brain_id", "memory_id").agg(total.alias("score")))
-        return whole.join(self.eligible, ["brain_id", "memory_id"], "left_semi").select("query_id", "memory_id", "score")
+        """The tiles whose bound reaches that score."""
+        return self.bounds.join(self.least(), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+
+    def needed(self) -> DataFrame:
+        """``query_id, term, needed``: the terms of smallest bounds that together do not reach the score are not needed."""
+        most = self.heads.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
+        upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        summed = most.withColumn("upto", upto * SLACK).join(self.least(), "query_id", "left")
+        return summed.select("query_id", "term", (F.col("least").isNull() | (F.col("upto") >= F.col("least"))).alias("needed"))
+
+    def _essential(self) -> DataFrame:
+        return self._parts(self.in_tiles(self.reached(), needed=True))
+
+    def candidates(self) -> DataFrame:
+        """The rows that reach the score with all that the terms left out could add in their tile."""
+        others = self.heads.join(self.needed().where("not needed").select("query_id", "term"), ["query_id", "term"]).groupBy(*_TILE).agg(F.sum("bound").alias("rest"))
+        summed = self._essential().groupBy(*_ROW).agg((-F.sum("part") * SLACK).alias("sure"))
+        joined = summed.join(others, _TILE, "left").join(self.least(), "query_id", "left")
+        return joined.where(F.col("least").isNull() | (F.col("sure") + F.coalesce("rest", F.lit(0.0)) >= F.col("least"))).select(*_ROW)
+
+    def that_matters(self) -> DataFrame:
+        rows = self.candidates()
+        others = self._parts(self.in_tiles(rows.select(*_TILE).distinct(), needed=False))
+        return self._essential().unionByName(others).join(rows, _ROW, "left_semi")
+
+
+def _ranged(df: DataFrame, parts: int, *order: str) -> DataFrame:
+    return (df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)).sortWithinPartitions(*order)
 
 
 def _in_tiles(docs: DataFrame, parts: int) -> DataFrame:
     """``docs`` with ``tile``: rows of a brain by length, a few to a tile."""
     order = ["brain_id", "len", "memory_id"]
-    laid = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return laid.withColumn("tile", F.shiftright(F.monotonically_increasing_id(), TILE_BITS))
+    return _ranged(docs, parts, *order).withColumn("tile", F.shiftright(F.monotonically_increasing_id(), TILE_BITS))

@@ -305,7 +305,7 @@ _KEPT = MEM.replace("mem AS", "whole AS", 1).replace("), live AS", "), mem AS (S
 def lexical_segments(spark: SparkSession, d: str) -> DataFrame:
     """All benchmark questions against an index that was built by appends, a merge and a removal; equal to scoring everything."""
     m = _mem(spark, d).where("deleted_at_ms is null")
-    found = lexical.lexical_branch(m, batch_questions(spark, d), scan.is_live(NOW), index=_by_parts(spark, d))
+    found = _by_parts(spark, d).search(m, batch_questions(spark, d), scan.is_live(NOW), limit=lexical.BRANCH_LIMIT, score_all=0)
     return _longs(found.withColumn("score", F.round("score", 9)), "rank")
 
 

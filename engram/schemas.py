@@ -20,7 +20,6 @@ TOKEN_BUDGETS = {"topic": 12, "document": 256, "query": 128, "content": 1024}
 RECENT_DEFAULT, RECENT_MAX = 20, 100
 AUDIT_DEFAULT, AUDIT_MAX = 500, 500
 PURGE_BATCH = 500
-IMPORT_BATCH = 128
 TTL_TOLERANCE_MS = 1000
 AUDIT_ACTIONS = ("remember", "reinforce", "forget", "restore", "hard_delete")
 FORBIDDEN_AUDIT_KEYS = ("topic", "summary", "content", "metadata")

@@ -214,6 +214,12 @@ class Store:
             gone = self.memories().join(changed.select("brain_id", "memory_id"), ["brain_id", "memory_id"], "left_semi") if op in ("hard_delete", "purge") else None
             self._commit(seq, {"lifecycle": rows} | ({"audit": audit} if audit is not None else {}), removed=gone)
 
+    def delete(self, path: str) -> None:
+        """Remove a scratch folder of this store."""
+        if not path.startswith(f"{self.path}/staging/"):
+            raise StoreError(f"no scratch folder of this store: {path}")
+        self._fs.delete(self._path(path), True)
+
     def imports(self) -> DataFrame:
         """The newest row of each import run."""
         w = Window.partitionBy("export_id").orderBy(F.desc("last_committed_seq"), F.col("completed_at_ms").desc_nulls_last())

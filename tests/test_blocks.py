@@ -51,7 +51,9 @@ def test_search_equals_scoring_everything(spark, tmp_path, limit):
     m = table(spark, corpus(600))
     eligible = scan.is_live(NOW) & (F.col("memory_id") != "m00007")
     index = BlockIndex.build(m, str(tmp_path))
-    assert found(lexical.lexical_branch(m, questions(spark), eligible, limit=limit, index=index)) == found(lexical.lexical_branch(m, questions(spark), eligible, limit=limit))
+    want = found(lexical.lexical_branch(m, questions(spark), eligible, limit=limit))
+    assert found(lexical.lexical_branch(m, questions(spark), eligible, limit=limit, index=index)) == want
+    assert found(index.search(m, questions(spark), eligible, limit=limit, score_all=0)) == want
 
 
 def test_most_blocks_of_common_words_are_not_read(spark, tmp_path):
@@ -79,7 +81,7 @@ def test_appends_removals_and_merges_leave_what_a_new_index_has(spark, tmp_path)
     index = index.append(table(spark, again))
     m = table(spark, there)
     parity(m, index)
-    assert found(index.search(m, questions(spark), scan.is_live(NOW), limit=9)) == found(lexical.lexical_branch(m, questions(spark), scan.is_live(NOW), limit=9))
+    assert found(index.search(m, questions(spark), scan.is_live(NOW), limit=9, score_all=0)) == found(lexical.lexical_branch(m, questions(spark), scan.is_live(NOW), limit=9))
     parity(m, index.merged(2))
     assert BlockIndex.of_state(spark, index.state()).segments == index.segments
 
@@ -88,7 +90,7 @@ def test_rows_without_tokens_and_empty_tables(spark, tmp_path):
     none = table(spark, [])
     index = BlockIndex(spark, str(tmp_path))
     assert index.append(none).segments == () and index.remove(none).segments == ()
-    assert index.search(none, questions(spark), scan.is_live(NOW), limit=5).count() == 0
+    assert index.search(none, questions(spark), scan.is_live(NOW), limit=5, score_all=0).count() == 0
     blank = table(spark, [memory("x", "?!", topic="--"), memory("y", "word")])
     index = index.append(blank)
     parity(blank, index)

@@ -163,3 +163,48 @@ def test_lifecycle_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r["op_seq"]: r["outcome"] for r in spark.table("outcomes").collect()}
     assert got == {1: "applied", 2: "applied", 3: "applied", 4: "not_found"}
+
+
+@pytest.mark.parametrize("split", [None, "300"])
+def test_large_exports_are_read_by_many_tasks(spark, tmp_path, split):
+    from engram.sources.exports import stage
+
+    many = build_envelope([payload(i) | {"memory_id": f"m{i:05}"} for i in range(300)], [event(i) | {"event_id": f"e{i:05}"} for i in range(50)], export_id=str(uuid.UUID(int=7)), exported_at_ms=NOW)
+    (tmp_path / "x.jsonl").write_bytes(many)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(many) // 7))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = stage(spark, str(tmp_path / "x.jsonl"), str(tmp_path / "scratch"))
+        if split:
+            assert spark.read.text(str(tmp_path / "x.jsonl")).rdd.getNumPartitions() >= 7
+        env = parse_envelope(many)
+        assert found.artifact_sha256 == env.artifact_sha256 and found.manifest == env.manifest
+        rows = found.records("memory", 0, 350).orderBy("seq").collect()
+        assert [r["memory_id"] for r in rows] == [m["memory_id"] for m in env.memories] and [r["seq"] for r in rows] == list(range(1, 301))
+        assert found.records("audit", 310, 320).count() == 10
+        for change, said in [
+            (lambda d: edit(d, 200, lambda r: r.update(seq=9)), "line 201: .*contiguous"),
+            (lambda d: edit(edit(d, 250, lambda r: r.update(seq=9)), 120, lambda r: r["payload"].update(embedding="x")), "line 121: payload_sha256"),
+            (lambda d: edit(d, -2, lambda r: r.update(rolling_sha256="0")), "line 352: rolling_sha256 mismatch"),
+            (lambda d: d.replace(b"\n", b"\r\n"), "LF-only"),
+            (lambda d: d[:-1], "end with LF"),
+            (lambda d: d.replace("é".encode(), b"\xff\xfe", 1), "UTF-8"),
+            (swapped, "not sorted"),
+            (lambda d: b"\n".join(d.split(b"\n")[:5] + d.split(b"\n")[6:]), "data lines"),
+        ]:
+            (tmp_path / "bad.jsonl").write_bytes(change(many))
+            with pytest.raises(EnvelopeError, match=said):
+                stage(spark, str(tmp_path / "bad.jsonl"), str(tmp_path / "scratch"))
+    finally:
+        for c in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{c}")
+
+
+def swapped(data):
+    """Two neighbouring records in the wrong order, each line right by itself."""
+    lines = data.decode().split("\n")
+    a, b = json.loads(lines[100]), json.loads(lines[101])
+    a["seq"], b["seq"] = b["seq"], a["seq"]
+    lines[100], lines[101] = canonical(b), canonical(a)
+    return "\n".join(lines).encode()
