@@ -702,6 +702,22 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
+@query("SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, true AS within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of all days merged from a sketch a day, and whether each one's exact rank is within the sketch's error."""
+    e = corpus.read(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    kept = metrics.daily_sketches(e, "value", "day", ["event_type"])
+    merged = metrics.merged_latency(kept, "day", "0000-01-01", "9999-12-31", ["event_type"])
+    points = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    ranks = e.where("value is not null").join(F.broadcast(merged), "event_type")  # a row for each type of event
+    below = [F.avg((F.col("value") < F.col(c)).cast("double")).alias(f"_{c}") for c, _ in points]
+    upto = [F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"{c}_") for c, _ in points]
+    near = F.lit(True)
+    for c, p in points:
+        near &= (F.col(f"_{c}") - 0.03 <= p) & (F.col(f"{c}_") + 0.03 >= p)
+    return ranks.groupBy("event_type", "n", "low", "high").agg(*below, *upto).select("event_type", "n", "low", "high", near.alias("within"))
+
+
 @query("SELECT event_id, replace(props, ' ', '') AS canonical, replace(props, ' ', '') AS stored FROM events")
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read(spark, d, "events").select("event_id", jsons.canonical_json("props").alias("canonical"), jsons.stored_json("props").alias("stored"))
