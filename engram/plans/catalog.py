@@ -581,11 +581,12 @@ def remaining_ttl_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MEM} SELECT brain_id, (row_number() OVER (PARTITION BY brain_id ORDER BY memory_id))::BIGINT AS seq, memory_id, summary, content, greatest(0, expires_at_ms - {NOW}) AS remaining_ttl_ms FROM mem")
 def line_sortedness(spark: SparkSession, d: str) -> DataFrame:
-    """An export of each brain, written and read back with full validation: contiguous, sorted lines."""
+    """Exports of each brain, written and read back with full validation: contiguous, sorted lines, numbered on from file to file."""
     target = _scratch(spark, "exports")
     jsonl.write_exports(_mem(spark, d), target, exported_at_ms=NOW)
-    found = jsonl.read_exports(spark, f"{target}/*/part-*")[0]
-    return found.select("brain_id", "seq", "memory_id", "summary", "content", "remaining_ttl_ms")
+    files = f"{target}/*/part-*"
+    found = jsonl.read_exports(spark, files)[0].join(F.broadcast(jsonl.records_before(spark, files)), "export_id")  # a row a file
+    return found.select("brain_id", (F.col("seq") + F.col("before")).alias("seq"), "memory_id", "summary", "content", "remaining_ttl_ms")
 
 
 # ------------------------------------------------------------------ constraints and metrics

@@ -1,6 +1,7 @@
 """Exports, store, importer, service and streams."""
 
 import json
+import os
 import uuid
 
 import pytest
@@ -72,6 +73,20 @@ def test_exports_as_tables(spark, tmp_path):
     assert mem.count() == 7 and aud.count() == 3 and mem.first()["metadata"] == '{"k":"\\u00e9"}'
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_a_brain_of_several_files_is_numbered_from_file_to_file(spark, monkeypatch):
+    from functools import partial
+
+    from engram.plans import catalog
+
+    monkeypatch.setattr(catalog.jsonl, "write_exports", partial(catalog.jsonl.write_exports, records_a_file=9))
+    brains = {}
+    for r in catalog.line_sortedness(spark, "/root/testdata/sf0.001").collect():
+        brains.setdefault(r["brain_id"], []).append((r["memory_id"], r["seq"]))
+    assert max(map(len, brains.values())) > 27
+    assert all([seq for _, seq in sorted(own)] == list(range(1, len(own) + 1)) for own in brains.values())
+
+
 @pytest.mark.parametrize("stop", [3, 6, 9])
 def test_import_resumes_to_the_same_state(spark, tmp_path, stop):
     (tmp_path / "x.jsonl").write_bytes(export())
