@@ -84,8 +84,11 @@ def duplicates(memories: DataFrame) -> DataFrame:
 def index_parity(memories: DataFrame, index: DataFrame) -> DataFrame:
     """``side, brain_id, memory_id, term, tf, len`` where a stored index and a fresh one differ."""
     fresh = postings(memories).select("brain_id", "memory_id", "term", "tf", "len")
-    old = index.select(*fresh.columns)
-    return fresh.exceptAll(old).withColumn("side", F.lit("missing")).unionByName(old.exceptAll(fresh).withColumn("side", F.lit("extra")))
+    # Both sides are read once and meet in one aggregation.
+    both = fresh.withColumn("_n", F.lit(1).cast("long")).unionByName(index.select(*fresh.columns, F.lit(-1).cast("long").alias("_n")))
+    off = both.groupBy(*fresh.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, F.lit("missing")).otherwise(F.lit("extra"))
+    return off.select(side.alias("side"), *fresh.columns, F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("col")
 
 
 def integrity(memories: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -108,3 +108,15 @@ def test_sent_terms_find_what_joined_ones_do(spark, limit):
     assert "collect_list" not in sent._jdf.queryExecution().toString()
     none = table(spark, [])
     assert lexical.lexical_branch(none, questions(spark), eligible).count() == 0
+
+
+def test_index_parity_reads_both_sides_once(spark):
+    from engram.operators import constraints
+
+    m = table(spark, corpus(40, 6))
+    whole = lexical.postings(m)
+    index = whole.where("memory_id <> 'm00001'").unionByName(whole.where("memory_id = 'm00002'"))
+    off = constraints.index_parity(m, index)
+    assert off._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # once for each of the three tables
+    want = sorted(("missing", *r) for r in map(tuple, whole.where("memory_id = 'm00001'").collect())) + sorted(("extra", *r) for r in map(tuple, whole.where("memory_id = 'm00002'").collect()))
+    assert sorted(map(tuple, off.select("side", *whole.columns).collect())) == sorted(want)
