@@ -34,6 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.operators.counts import in_blocks, row_lengths, token_lists
 from engram.operators.lexical import contribution, idf, query_terms, ranked, tokenized
 
 #: Rows of a tile, as a power of two.
@@ -42,6 +43,12 @@ TILE_BITS = 4
 FANOUT = 8
 #: Segments of up to so many rows are written as one file.
 FEW_ROWS = 2_000
+#: Merged segments of up to so many rows are laid out in tiles anew; larger ones keep the tiles that their parts have filled.
+MAX_LAID_ROWS = FANOUT * FEW_ROWS
+#: Beyond the session's number, files of a segment have about so many rows.
+FILE_ROWS = 20_000
+#: Removed rows up to this number are sent to every task; beyond, they are joined by shuffle.
+MAX_SENT_GONE = 500_000
 #: Terms up to this number are pushed down to the files; up to the next one they are sent to every task, beyond they are joined.
 MAX_PUSHED_TERMS, MAX_HELD_TERMS = 2_000, 100_000
 #: Of up to so many queries the scores to reach are held, a number each; of more they are part of the plan.
@@ -51,6 +58,9 @@ SCORE_ALL = 20_000_000
 #: Bounds are raised by this share, so that rounding cannot lower one below a score.
 SLACK = 1 + 1e-9
 
+#: Rows of a page of blocks, which is what a term's search reads of a file's stretch.
+PAGE_ROWS = 4_096
+
 BLOCKS = "seq bigint, term string, brain_id string, tile bigint, n bigint, peaks array<struct<tf:double,len:bigint>>, docs array<struct<memory_id:string,tf:double,len:bigint>>"
 GONE = "seq bigint, term string, brain_id string, memory_id string, len bigint"
 
@@ -59,7 +69,7 @@ GONE = "seq bigint, term string, brain_id string, memory_id string, len bigint"
 class Segment:
     """``rows`` and ``tokens`` count what it adds, or takes away if ``removal``; ``seq`` orders segments in time.
 
-    Rows of a segment carry its ``seq``, those of merged removals the ones they came with.
+    Rows of a segment carry its ``seq``; those of merged removals, and of merged segments that keep their tiles, the ones they came with.
     """
 
     name: str
@@ -93,12 +103,12 @@ class BlockIndex:
 
     def append(self, memories: DataFrame) -> BlockIndex:
         """The index with the rows of ``memories`` added; only their texts are read."""
-        rows = memories.count()
-        docs = tokenized(memories).select("brain_id", "memory_id", F.col("_len").alias("len"), "_tok")
-        laid = _in_tiles(docs, self._parts(rows))
-        post = laid.select("brain_id", "memory_id", "tile", "len", F.explode("_tok").alias("t"))
-        post = post.groupBy("brain_id", "memory_id", "tile", "len", "t.term").agg(F.sum("t.w").alias("tf"))
-        return self._add(post, self._next(), rows=rows)
+        rows, tokens = row_lengths(memories).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        if not rows:
+            return self
+        seq, lists = self._next(), token_lists(memories if rows > FEW_ROWS else memories.coalesce(1), "brain_id", "memory_id")
+        # Tiles are laid out and their blocks made where the rows are read, so neither texts nor postings are shuffled.
+        return self._written(lists.mapInArrow(lambda batches: in_blocks(batches, seq, TILE_BITS), BLOCKS), Segment(uuid.uuid4().hex, seq, rows, tokens))
 
     def remove(self, memories: DataFrame) -> BlockIndex:
         """The index without the rows of ``memories``, whose texts are those that were added; no other text is read."""
@@ -134,7 +144,7 @@ class BlockIndex:
     def _merge(self, these: list[Segment]) -> BlockIndex:
         """One segment of ``these`` without the rows that later removals took away, and one removal of what is left of these."""
         key, names, fewer = ["seq", "brain_id", "memory_id"], {s.name for s in these}, 0
-        rows = self._read("blocks", these).select("seq", "term", "brain_id", F.explode("docs").alias("d")).select("seq", "term", "brain_id", "d.*")
+        rows = self._read("blocks", these).select("seq", "term", "brain_id", "tile", F.explode("docs").alias("d")).select("seq", "term", "brain_id", "tile", "d.*")
         out = BlockIndex(self.spark, self.path, tuple(s for s in self.segments if s.name not in names))
         if removals := self._removals():
             gone = self._read("gone", removals)
@@ -148,7 +158,15 @@ class BlockIndex:
                 left = gone.join(went.select("brain_id", "memory_id", F.col("_gone").alias("seq")), key, "left_anti")
                 out = out._without_removals()._remove(left, max(s.seq for s in removals))
         left = sum(s.rows for s in these) - fewer
-        post = rows.join(_in_tiles(rows.select(*key, "len").distinct(), self._parts(left)).select(*key, "tile"), key)
+        if left > MAX_LAID_ROWS:
+            seq, tokens = max(s.seq for s in these), sum(s.tokens for s in these)
+            if not fewer:
+                # Small files are read together, so they become one.
+                return out._written(self._read("blocks", these), Segment(uuid.uuid4().hex, seq, left, tokens))
+            lost = self._read("gone", removals).join(went.select("brain_id", "memory_id", F.col("_gone").alias("seq")), ["brain_id", "memory_id", "seq"])
+            lost = lost.groupBy("brain_id", "memory_id", "seq").agg(F.max("len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+            return out._written(_ranged(_blocks(rows), self._parts(left), "term", "brain_id", "seq", "tile"), Segment(uuid.uuid4().hex, seq, left, tokens - lost))
+        post = rows.drop("tile").join(_in_tiles(rows.select(*key, "len").distinct(), self._parts(left)).select(*key, "tile"), key)
         return out._add(post, max(s.seq for s in these), rows=left)
 
     def _add(self, post: DataFrame, seq: int, *, rows: int) -> BlockIndex:
@@ -156,20 +174,20 @@ class BlockIndex:
         if not rows:
             return self
         name = uuid.uuid4().hex
-        doc = F.struct("memory_id", "tf", "len")
-        blocks = post.groupBy("term", "brain_id", "tile").agg(F.array_sort(F.collect_list(doc)).alias("docs"))
-        pairs = F.array_distinct(F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["len"].alias("len"))))
-        blocks = blocks.withColumn("_pairs", pairs)
-        beaten = lambda p: F.exists("_pairs", lambda q: (q["tf"] >= p["tf"]) & (q["len"] <= p["len"]) & ((q["tf"] > p["tf"]) | (q["len"] < p["len"])))
-        whole = blocks.select(F.lit(seq).cast("long").alias("seq"), "term", "brain_id", "tile", F.size("docs").cast("long").alias("n"), F.filter("_pairs", lambda p: ~beaten(p)).alias("peaks"), "docs")
-        _ranged(whole, self._parts(rows), "term", "brain_id", "tile").write.parquet(f"{self.path}/blocks/{name}")
+        _ranged(_blocks(post.withColumn("seq", F.lit(seq).cast("long"))), self._parts(rows), "term", "brain_id", "tile").write.parquet(f"{self.path}/blocks/{name}")
         docs = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks/{name}").select("brain_id", F.explode("docs").alias("d"))
         tokens = docs.groupBy("brain_id", "d.memory_id").agg(F.max("d.len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         return BlockIndex(self.spark, self.path, (*self.segments, Segment(name, seq, rows, tokens)))
 
+    def _written(self, blocks: DataFrame, segment: Segment) -> BlockIndex:
+        """The index with ``segment``, whose ``blocks`` are written in the order they come in."""
+        blocks.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/blocks/{segment.name}")
+        return BlockIndex(self.spark, self.path, (*self.segments, segment))
+
     def _parts(self, rows: int | None = None) -> int:
         """Files of a segment: one for a few rows, which then need no sample of their ranges."""
-        return 1 if rows is not None and rows <= FEW_ROWS else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        few = rows is not None and rows <= FEW_ROWS
+        return 1 if few else max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // FILE_ROWS))
 
     def _read(self, kind: str, segments: list[Segment]) -> DataFrame:
         schema = BLOCKS if kind == "blocks" else GONE
@@ -214,6 +232,7 @@ class BlockIndex:
         if not self._removals():
             return rows
         gone = self._read("gone", self._removals()).groupBy("brain_id", "memory_id").agg(F.max("seq").alias("_gone"))
+        gone = F.broadcast(gone) if sum(s.rows for s in self._removals()) <= MAX_SENT_GONE else gone
         return rows.join(gone, ["brain_id", "memory_id"], "left").where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone"))).drop("_gone")
 
     # -------------------------------------------------------------- search
@@ -334,6 +353,14 @@ class _Search:
         return self._essential().unionByName(others).join(rows, _ROW, "left_semi")
 
 
+def _blocks(post: DataFrame) -> DataFrame:
+    """Blocks of ``seq, brain_id, memory_id, tile, len, term, tf``."""
+    blocks = post.groupBy("seq", "term", "brain_id", "tile").agg(F.array_sort(F.collect_list(F.struct("memory_id", "tf", "len"))).alias("docs"))
+    pairs = F.array_distinct(F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["len"].alias("len"))))
+    beaten = lambda p: F.exists("_pairs", lambda q: (q["tf"] >= p["tf"]) & (q["len"] <= p["len"]) & ((q["tf"] > p["tf"]) | (q["len"] < p["len"])))
+    return blocks.withColumn("_pairs", pairs).select("seq", "term", "brain_id", "tile", F.size("docs").cast("long").alias("n"), F.filter("_pairs", lambda p: ~beaten(p)).alias("peaks"), "docs")
+
+
 def _ranged(df: DataFrame, parts: int, *order: str) -> DataFrame:
     return (df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)).sortWithinPartitions(*order)
 

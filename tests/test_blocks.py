@@ -98,6 +98,41 @@ def test_rows_without_tokens_and_empty_tables(spark, tmp_path):
     parity(table(spark, [memory("y", "word"), memory("z", "other word")]), index)
 
 
+def test_merges_beyond_a_size_keep_tiles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("engram.operators.blocks.MAX_LAID_ROWS", 20)
+    monkeypatch.setattr("engram.operators.blocks.FEW_ROWS", 10)
+    rows, index, there = corpus(240, 3), BlockIndex(spark, str(tmp_path)), []
+    for i in range(0, 240, 60):
+        index, there = index.append(table(spark, rows[i : i + 60])), there + rows[i : i + 60]
+    kept = index.merged(4)
+    assert len(kept.segments) == 1
+    tiles = lambda x: sorted(map(tuple, x._read("blocks", x.segments).select("seq", "term", "brain_id", "tile", "n").collect()))
+    assert tiles(kept) == tiles(index)
+    parity(table(spark, there), kept)
+    gone = [r for r in there if int(r[0][1:]) % 7 == 0]
+    there = [r for r in there if r not in gone]
+    fewer = index.remove(table(spark, gone)).merged(4)
+    m = table(spark, there)
+    parity(m, fewer)
+    assert not fewer._removals() or fewer._read("gone", fewer._removals()).where("term is not null").count() == 0
+    assert found(fewer.search(m, questions(spark), scan.is_live(NOW), limit=9, score_all=0)) == found(lexical.lexical_branch(m, questions(spark), scan.is_live(NOW), limit=9))
+
+
+def test_appended_blocks_have_their_peaks_and_tiles_of_their_own(spark, tmp_path):
+    rows = corpus(80, 4) + [memory("blank", "?!", topic="--")]
+    index = BlockIndex.build(table(spark, rows), str(tmp_path))
+    blocks = index._read("blocks", index.segments).collect()
+    by_term = {}
+    for b in blocks:
+        assert b["n"] == len(b["docs"]) <= 16
+        pairs = {(d["tf"], d["len"]) for d in b["docs"]}
+        beats = lambda q, p: q != p and q[0] >= p[0] and q[1] <= p[1]
+        assert sorted(map(tuple, b["peaks"])) == sorted(p for p in pairs if not any(beats(q, p) for q in pairs))
+        by_term.setdefault((b["term"], b["brain_id"]), []).append(b["tile"])
+    assert all(len(t) == len(set(t)) for t in by_term.values())
+    assert not [f for f in (tmp_path / "blocks").glob("*/*.parquet") if "-00001-" in f.name]  # a few rows are one file
+
+
 @pytest.mark.parametrize("limit", [1, 7, 50])
 def test_sent_terms_find_what_joined_ones_do(spark, limit):
     m = table(spark, corpus(600, 5))
