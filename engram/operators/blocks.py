@@ -14,6 +14,8 @@ do not reach it cannot make a row good by themselves: the rows of the others are
 scored first, in tiles whose bound reaches the score, and only those that could
 still reach it have the remaining terms looked up, in their own tiles. No row that
 is left out can be among the best, so the result is that of scoring everything.
+A bounded number of queries is sent to every task instead of being joined: tiles
+whose bound reaches some query's score are then scored for all of them at once.
 
 Every append writes a segment of its own, and every removal one with the terms
 of the rows that went; both read the texts of these rows only. Segments of
@@ -27,15 +29,18 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from engram.operators.counts import in_blocks, row_lengths, token_lists
-from engram.operators.lexical import contribution, idf, query_terms, ranked, tokenized
+from engram.operators.counts import Scores, in_blocks, row_lengths, token_lists
+from engram.operators.lexical import MAX_SENT_TERMS, contribution, idf, query_terms, ranked, sent_terms, tokenized
 
 #: Rows of a tile, as a power of two.
 TILE_BITS = 4
@@ -53,6 +58,8 @@ MAX_SENT_GONE = 500_000
 MAX_PUSHED_TERMS, MAX_HELD_TERMS = 2_000, 100_000
 #: Of up to so many queries the scores to reach are held, a number each; of more they are part of the plan.
 MAX_HELD_QUERIES = 10_000
+#: Of queries that are sent to every task, tiles to score up to this number are sent as well; more are joined.
+MAX_SENT_TILES = 200_000
 #: Fewer postings than these are all scored in one pass, which is quicker than looking for those that matter.
 SCORE_ALL = 20_000_000
 #: Bounds are raised by this share, so that rounding cannot lower one below a score.
@@ -240,11 +247,13 @@ class BlockIndex:
     def search(self, memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int, score_all: int = SCORE_ALL) -> DataFrame:
         """``query_id, memory_id, score, rank``, equal to scoring every posting."""
         s = _Search(self, memories.where(eligible), queries, limit)
-        parts = s.everything() if s.postings is not None and s.postings < score_all else s.that_matters()
-        return s.best(parts)
+        few = s.postings is not None and s.postings < score_all
+        if s.sent is not None:
+            return s.scored() if few else s.scored(s.tiles())
+        return s.best(s.everything() if few else s.that_matters())
 
     def blocks_read(self, memories: DataFrame, queries: DataFrame, eligible: Column, *, limit: int) -> DataFrame:
-        """``query_id, term, df, n_blocks, n_read``: how many of a term's blocks in the query's brain a search by bounds scores."""
+        """``query_id, term, df, n_blocks, n_read``: how many of a term's blocks in the query's brain a search by bounds scores if queries are joined."""
         s = _Search(self, memories.where(eligible), queries, limit)
         key = ["query_id", "term", *_TILE[1:]]
         read = [s.in_tiles(s.first()), s.in_tiles(s.reached(), needed=True), s.in_tiles(s.candidates().select(*_TILE).distinct(), needed=False)]
@@ -266,6 +275,9 @@ class _Search:
         n_rows, n_tokens = index.counts()
         self.avg = F.lit(n_tokens / n_rows if n_rows else 1.0)
         asked = query_terms(queries)
+        few_terms = asked.limit(MAX_SENT_TERMS + 1).collect()
+        self.sent = sent_terms(few_terms) if len(few_terms) <= MAX_SENT_TERMS else None
+        self.kind = queries.schema["query_id"].dataType
         times = {r["term"]: r["count"] for r in asked.groupBy("term").count().limit(MAX_HELD_TERMS + 1).collect()}
         self.postings: int | None = None
         if len(times) <= MAX_HELD_TERMS:
@@ -281,6 +293,9 @@ class _Search:
             df = index._df(of)
         self.blocks = of(index._read("blocks", index._live()))
         self.weighted = asked.join(df, "term").withColumn("idf", idf(F.lit(n_rows), F.col("df")))
+        if self.sent is not None:
+            numbers = index.spark.createDataFrame([(w, i) for i, w in enumerate(self.sent[0])], "term string, code int")
+            self.numbers = F.broadcast(numbers.join(df, "term").select("term", "code", idf(F.lit(n_rows), F.col("df")).alias("idf")))
         peak = lambda p: -contribution(F.col("idf"), p["tf"], p["len"], self.avg)
         joined = self.blocks.select("term", "brain_id", "seq", "tile", "peaks").join(self.weighted, ["term", "brain_id"])
         self.heads = joined.select(*_TILE, "term", (F.array_max(F.transform("peaks", peak)) * SLACK).alias("bound"))
@@ -311,6 +326,36 @@ class _Search:
         whole = parts.groupBy("query_id", "brain_id", "seq", "memory_id").agg(total.alias("score")).select("query_id", "memory_id", "score")
         return ranked(whole, [F.col("score").asc(), F.col("memory_id").asc()], self.limit)
 
+    # -------------------------------------------------------------- queries that are sent to every task
+
+    def tiles(self) -> DataFrame:
+        """``brain_id, seq, tile`` of what some query's bound reaches."""
+        reached = self.reached().select(*_TILE[1:]).distinct()
+        few = reached.limit(MAX_SENT_TILES + 1).collect()
+        return reached if len(few) > MAX_SENT_TILES else F.broadcast(self.index.spark.createDataFrame(few, reached.schema))
+
+    def scored(self, tiles: DataFrame | None = None) -> DataFrame:
+        """The best rows of all tiles or of ``tiles``; a row's postings come together once, whatever the number of queries."""
+        need = self.blocks.select("term", *_TILE[1:], "docs")
+        if tiles is not None:
+            need = need.join(tiles, _TILE[1:], "left_semi")
+        rows = need.join(self.numbers, "term").select("brain_id", "seq", "code", "idf", F.explode("docs").alias("d"))
+        part = contribution(F.col("idf"), F.col("d.tf"), F.col("d.len"), self.avg)
+        whole = rows.select("brain_id", "seq", "d.memory_id", F.struct("code", part.alias("part")).alias("p")).groupBy("brain_id", "memory_id", "seq").agg(F.collect_list("p").alias("parts"))
+        there = self.index._there(whole.join(self.eligible, ["brain_id", "memory_id"], "left_semi"))
+        shared, limit, arrow = self.index.spark.sparkContext.broadcast(self.sent[1]), self.limit, to_arrow_type(self.kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Scores(shared.value, limit)
+            for b in batches:
+                parts = b.column(2)
+                row, flat = np.repeat(np.arange(b.num_rows), parts.value_lengths().to_numpy()), parts.flatten()
+                best.add(b.column(0), b.column(1), row, flat.field("code").to_numpy().astype(np.int64), flat.field("part").to_numpy())
+            yield best.batch(arrow)
+
+        found = there.select("brain_id", "memory_id", "parts").mapInArrow(run, f"query_id {self.kind.simpleString()}, memory_id string, score double")
+        return ranked(found, [F.col("score").asc(), F.col("memory_id").asc()], self.limit)
+
     # -------------------------------------------------------------- bounds
 
     def first(self) -> DataFrame:
@@ -320,7 +365,7 @@ class _Search:
     def least(self) -> DataFrame:
         """``query_id, least``: a score that enough rows of the first tiles reach; no row where there are too few."""
         if self._least is None:
-            found = self.best(self._parts(self.in_tiles(self.first())))
+            found = self.best(self._parts(self.in_tiles(self.first()))) if self.sent is None else self.scored(self.first().select(*_TILE[1:]).distinct())
             found = found.where(F.col("rank") == self.limit).select("query_id", (-F.col("score")).alias("least"))
             few = found.limit(MAX_HELD_QUERIES + 1).collect()
             self._least = found if len(few) > MAX_HELD_QUERIES else F.broadcast(self.index.spark.createDataFrame(few, found.schema))
