@@ -742,6 +742,10 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{target}/out").select("brain_id", "memory_id")
 
 
+#: Rows of a file of that stream, where they are many, and files of a batch at most.
+REPEAT_ROWS, REPEAT_FILES = 20_000, 64
+
+
 @query(f"WITH {MEM} SELECT brain_id, memory_id FROM mem WHERE expires_at_ms > {NOW}")
 def stream_repeats(spark: SparkSession, d: str) -> DataFrame:
     """A stream in which every memory comes twice, some of them expired: what is written is each live one, once."""
@@ -749,8 +753,9 @@ def stream_repeats(spark: SparkSession, d: str) -> DataFrame:
 
     target = _scratch(spark, "repeats")
     m = _mem(spark, d)
+    files = max(4, -(-m.count() // REPEAT_ROWS))
     for part in ("a", "b"):
-        m.repartition(4, "memory_id").write.parquet(f"{target}/in/{part}")
-    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(f"{target}/in/*")
+        m.repartition(files, "memory_id").write.parquet(f"{target}/in/{part}")
+    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", min(files // 2, REPEAT_FILES)).parquet(f"{target}/in/*")
     ingest(source, f"{target}/out", f"{target}/state", started_ms=NOW).awaitTermination()
     return spark.read.parquet(f"{target}/out").select("brain_id", "memory_id")

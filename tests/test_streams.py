@@ -1,5 +1,7 @@
 """Streams with bounded state: repeats, conflicts, expiry of state, restarts."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,13 @@ def test_state_of_a_lifecycle_ends(spark, tmp_path):
 
 def test_ends():
     assert ends(None, 5) == 5 and ends(3, 5) == 3 + 30 * DAY and ends(3, 100 * DAY) == 100 * DAY
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_files_of_the_stream_with_repeats_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    from engram.plans import catalog
+
+    monkeypatch.setattr(catalog, "REPEAT_ROWS", 20, raising=False)
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, name: str(tmp_path))
+    assert catalog.stream_repeats(spark, "/root/testdata/sf0.001").count() == catalog._mem(spark, "/root/testdata/sf0.001").where(F.col("expires_at_ms") > catalog.NOW).count()
+    assert len(list((tmp_path / "in" / "a").glob("part-*"))) == 10
