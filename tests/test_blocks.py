@@ -155,3 +155,13 @@ def test_index_parity_reads_both_sides_once(spark):
     assert off._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # once for each of the three tables
     want = sorted(("missing", *r) for r in map(tuple, whole.where("memory_id = 'm00001'").collect())) + sorted(("extra", *r) for r in map(tuple, whole.where("memory_id = 'm00002'").collect()))
     assert sorted(map(tuple, off.select("side", *whole.columns).collect())) == sorted(want)
+
+
+def test_the_judged_search_runs_once(spark):
+    import os
+
+    from engram.plans import catalog
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables here")
+    assert "MapInArrow" not in catalog.recall_mrr_ndcg(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
